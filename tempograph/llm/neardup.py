@@ -150,24 +150,21 @@ def text_key(words: list[bytes]) -> bytes:
 
 
 def signed(docs: DataFrame, n: int = SHINGLE, k: int = COORDINATES, bands: int = BANDS) -> DataFrame:
-    """(id, key, bands, bits): for each row of docs (id, text) its text's key, the hashes of its bands (none without
-    words) and the last 8 bits of each coordinate."""
+    """(id, key, bands): for each row of docs (id, text) its text's key and the hashes of its bands, none without words."""
 
     def run(batches):
         for b in batches:
             at = 0
             for block in _blocks(b.column(1).to_pylist()):
                 doc, element = elements(block, n)
-                darts = dart_signatures(doc, element, len(block), k)
-                hashes = band_hashes(darts, bands)
+                hashes = band_hashes(dart_signatures(doc, element, len(block), k), bands)
                 keep = np.array([len(x) > 0 for x in block])
                 flat, ends = hashes[keep].ravel(), np.cumsum(np.r_[0, np.where(keep, bands, 0)]).astype(np.int32)
-                bits = pa.array([x.tobytes() for x in (darts >> np.uint64(56)).astype(np.uint8)], pa.binary())
                 keys = pa.array(map(text_key, block), pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(block)), keys, pa.ListArray.from_arrays(ends, pa.array(flat)), bits], ["id", "key", "bands", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(block)), keys, pa.ListArray.from_arrays(ends, pa.array(flat))], ["id", "key", "bands"])
                 at += len(block)
 
-    return docs.select("id", "text").mapInArrow(run, "id long, key binary, bands array<long>, bits binary")
+    return docs.select("id", "text").mapInArrow(run, "id long, key binary, bands array<long>")
 
 
 def element_sets(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -208,38 +205,57 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def _rest(members: DataFrame, labels: DataFrame, bits: DataFrame, similarity: float, k: int, block: int = 512) -> DataFrame:
-    """(a, b): the pairs that share a bucket, are in different classes so far, and agree in about as many coordinates as
-    such a pair has. Fewer by 4.5 standard deviations (once in 3e5) are left out.
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray], alone: bool) -> np.ndarray:
+    """How many elements each set of x shares with each of y, by matrix products over the elements that both sides have
+    (alone: x is y; those that two sets have)."""
+    fx, fy = np.concatenate(x), np.concatenate(y)
+    ux, nx = np.unique(fx, return_counts=True)
+    columns = ux[nx > 1] if alone else np.intersect1d(ux, np.unique(fy))
+    out = np.zeros((len(x), len(y)), np.float32)
+    for c in range(0, len(columns), 4096):
+        part = columns[c : c + 4096]
+
+        def matrix(sets, flat, part=part):
+            at = np.searchsorted(part, flat)
+            hit = part[np.minimum(at, len(part) - 1)] == flat
+            m = np.zeros((len(sets), len(part)), np.float32)
+            m[np.repeat(np.arange(len(sets)), [len(z) for z in sets])[hit], at[hit]] = 1
+            return m
+
+        mx = matrix(x, fx)
+        out += mx @ (mx if alone else matrix(y, fy)).T
+    return out
+
+
+def _rest(star: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float, block: int = 256) -> DataFrame:
+    """(a, b): the pairs of different classes so far that were compared with one hub (all that share a bucket were) and
+    whose sets overlap enough, give or take what 32 bits of an element may mistake; so the exact check has few left.
 
-    Only buckets with more than one class count. Their members are cut into blocks; blocks of members outside the bucket's
-    largest class meet all blocks of the bucket, and are compared as matrices of bytes. A row is a pair of blocks, so no
-    bucket is gathered whole and no pair that fails is a row.
+    Only hubs whose partners are of more than one class count. The partners are cut into blocks; blocks of those outside
+    the hub's largest class meet all of its blocks, and are compared as matrices. A row is a pair of blocks, so no group is
+    gathered whole and no pair that fails is a row.
     """
-    least = similarity * k - 4.5 * math.sqrt(k * similarity * (1 - similarity))
-    own = members.select("bucket", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    sizes = own.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    top = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("classes"), F.sum("n").alias("n")).filter("classes > 1")
-    own = own.join(top.select("bucket", "top", "n"), "bucket").join(bits, "key").withColumn("minor", F.col("label") != F.col("top"))
+    own = star.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    sizes = own.groupBy("hub", "label").agg(F.count("*").alias("n"))
+    top = sizes.groupBy("hub").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("classes"), F.sum("n").alias("n")).filter("classes > 1")
+    own = own.join(top.select("hub", "top", "n"), "hub").join(sets, "key").withColumn("minor", F.col("label") != F.col("top"))
     part = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / block)).cast("int")
-    blocks = own.groupBy("bucket", "minor", part.alias("part")).agg(F.collect_list(F.struct("key", "label", "bits")).alias("rows"))
-    blocks, path = stored(blocks, "blocks")
-    left = blocks.filter("minor").select("bucket", F.col("part").alias("p"), F.col("rows").alias("x"))
-    right = blocks.select("bucket", F.col("part").alias("q"), F.col("minor").alias("m"), F.col("rows").alias("y"))
-    met = left.join(right, "bucket").filter("not m or p <= q").select("x", "y")
+    blocks = own.groupBy("hub", "minor", part.alias("part")).agg(F.collect_list(F.struct("key", "label", "elements")).alias("rows"))
+    left = blocks.filter("minor").select("hub", F.col("part").alias("p"), F.col("rows").alias("x"))
+    right = blocks.select("hub", F.col("part").alias("q"), F.col("minor").alias("m"), F.col("rows").alias("y"))
+    met = left.join(right, "hub").filter("not m or p <= q").select("x", "y", F.expr("m and p = q").alias("alone"))
 
     def run(batches):
         for b in batches:
-            for x, y in zip(b.column(0), b.column(1), strict=True):
+            for x, y, alone in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
                 x, y = x.values, y.values
-                one, two = (np.frombuffer(b"".join(z.field("bits").to_pylist()), np.uint8).reshape(len(z), -1) for z in (x, y))
-                la, lb = (z.field("label").to_pylist() for z in (x, y))
+                one, two = ([np.unique(np.frombuffer(e.as_buffer(), np.uint64).astype(np.uint32)) for e in z.field("elements")] for z in (x, y))
+                nx, ny = (np.array([len(e) for e in z]) for z in (one, two))
+                least = (nx[:, None] + ny[None, :]) * (similarity / (1 + similarity)) - 2
+                la, lb = (np.array(z.field("label").to_pylist(), dtype=object) for z in (x, y))
+                hit = (_overlaps(one, two, alone) >= least) & (la[:, None] != lb[None, :])
                 ka, kb = (z.field("key").to_pylist() for z in (x, y))
-                out = set()
-                for i in range(len(ka)):
-                    for j in np.flatnonzero((two == one[i]).sum(axis=1) >= least):
-                        if la[i] != lb[j]:
-                            out.add((min(ka[i], kb[j]), max(ka[i], kb[j])))
+                out = {(min(ka[i], kb[j]), max(ka[i], kb[j])) for i, j in zip(*np.nonzero(hit), strict=True)}
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(z, pa.binary()) for z in zip(*out, strict=True)], ["a", "b"])
 
@@ -253,34 +269,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weighted Jaccard index of their n-word shingles, counted, is at least `similarity`; classes are the components of links.
     Texts that agree in a band share a bucket. In each bucket all are compared exactly with one hub, the text that has
     most company over all its buckets (in a group of edited copies that is their original). Pairs of a bucket that are in
-    one class then need no comparison; all others are compared by coordinates, block by block, and exactly where those
-    agree enough. So no bucket is gathered and none of its pairs is left out. Texts of fewer than n words are one shingle;
+    one class then need no comparison; all others are compared by overlap, block by block, and exactly where that is
+    enough. So no bucket is gathered and none of its pairs is left out. Texts of fewer than n words are one shingle;
     texts without words, null ones too, are copies of each other. A row of null id has the class of its text, null if no
     id has it. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     sig, _ = stored(signed(rows, n, k, bands), "darts")
-    texts = sig.groupBy("key").agg(F.min("id").alias("rep"), F.first(F.struct("bands", "bits")).alias("s"))
-    texts, texts_path = stored(texts.select("key", "rep", "s.*"), "texts")
+    texts, texts_path = stored(sig.groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "texts")
     of_bucket = texts.select("key", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "key")
     counts = of_bucket.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members, members_path = stored(of_bucket.join(counts, "bucket"), "buckets")
     company, company_path = stored(members.groupBy("key").agg(F.sum("n").alias("company")), "company")
     hubs = members.join(company, "key").groupBy("bucket").agg(F.max_by("key", F.struct("company", "key")).alias("hub"))
-    star = members.join(hubs, "bucket").filter("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+    star, star_path = stored(members.join(hubs, "bucket").filter("key <> hub").select("hub", "key").distinct(), "star")
+    pairs = star.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
     wanted = texts.join(company, "key", "left_semi").select(F.col("rep").alias("id")).distinct()
     sets, sets_path = stored(element_sets(rows.join(wanted, "id", "left_semi"), n).dropDuplicates(["key"]), "sets")
-    links, links_path = stored(_verified(star, sets, similarity), "links")
+    links, links_path = stored(_verified(pairs, sets, similarity), "links")
     labels = connected_components(links, "a", "b", "near").select(F.col("id").alias("key"), F.col("component").alias("label"))
-    more, _ = stored(_verified(_rest(members, labels, texts.select("key", "bits"), similarity, k).join(star, ["a", "b"], "left_anti"), sets, similarity), "links")
+    more, _ = stored(_verified(_rest(star, labels, sets, similarity), sets, similarity), "links")
     if not more.isEmpty():
         labels = connected_components(links.unionAll(more), "a", "b", "near").select(F.col("id").alias("key"), F.col("component").alias("label"))
     of_text = texts.select("key", "rep").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     sizes = sig.groupBy("key").agg(F.count("*").alias("n"))
     of_class = of_text.join(sizes, "key").groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
     classes, _ = stored(of_text.join(of_class, "label").select("key", "class_id", "class_size"), "classes")
-    for p in (texts_path, members_path, company_path, sets_path, links_path):
+    for p in (texts_path, members_path, company_path, star_path, sets_path, links_path):
         drop_dir(spark, p)
     return sig.select(F.col("id").alias("doc_id"), "key").join(classes, "key").select("doc_id", "class_id", "class_size")
 
