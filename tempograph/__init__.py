@@ -1,0 +1 @@
+"""A PySpark-native engine for bitemporal property graphs."""
