@@ -1,50 +1,20 @@
-"""Folders that driver and executors share, and tables that cut lineage."""
+"""What the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The characters that separate words and are stripped from lines: [\x20\x09-\x0D].
+from ..plans.loop import drop_dir, shared_dir, stored
+
+#: The characters that separate words and are stripped from lines: [\\x20\\x09-\\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_BYTES = BLANKS.encode()
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where it is unset, a temporary one is made, which only a local
-    master can share; on a cluster that is an error."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tempograph-")
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other call gets."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of the shared folder, on whatever file system it is."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df written as Parquet to the shared folder and read again: lineage ends there, and a lost executor costs
-    nothing. Returns the table and its path, for drop_dir."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 def text_of(column: str) -> Column:
     """The text; null is empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+__all__ = ["BLANKS", "BLANK_BYTES", "drop_dir", "shared_dir", "stored", "text_of"]

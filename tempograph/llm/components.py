@@ -1,42 +1,5 @@
-"""Connected components by alternating large-star and small-star steps (Kiveris et al., 2014)."""
+"""Connected components, from the graph library."""
 
-from __future__ import annotations
+from ..operators.connectivity import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import drop_dir, stored
-
-
-def _starred(pairs: DataFrame, large: bool) -> DataFrame:
-    """Every u's partners are hung on the least of them. Large star: partners above u; small star: those below, and u."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    if large:
-        least = least.select("u", F.least("u", "m").alias("m"))
-        return pairs.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = least.select("u", F.col("m").alias("v"))
-    return pairs.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(own)
-
-
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", name: str = "components") -> DataFrame:
-    """(id, component) for every end of an edge that isn't a loop; component is the least id that it reaches.
-
-    Only joins and aggregates: a hub's partners are spread by partial aggregation and skew joins. Each round is written
-    to the shared folder. Null ends and loops are ignored; no edges, no rows.
-    """
-    spark = edges.sparkSession
-    pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).distinct()
-    now, path = stored(pairs, name)
-    print_of = lambda t: t.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-    seen = print_of(now)
-    while seen[0]:
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _starred(both, True).distinct()
-        small = _starred(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False).distinct()
-        then, new_path = stored(small, name)
-        drop_dir(spark, path)
-        was, now, path, seen = seen, then, new_path, print_of(then)
-        if was == seen:
-            break
-    ends = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return ends.unionAll(ends.select(F.col("component").alias("id"), "component").distinct())
+__all__ = ["connected_components"]
