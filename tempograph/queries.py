@@ -231,9 +231,9 @@ def _parity(spark, d):
     return graph(spark, d, "user_nodes").select("id", F.when(F.substring("id", 2, 9).cast("int") % 3 > 0, F.substring("id", 2, 9).cast("int") % 3).alias("community"))
 
 
-@query(cte("user_nodes") + " select id, nullif(cast(substr(id, 2) as int) % 3, 0) as community, round(health_score, 6) as health_score from user_nodes order by 2 nulls last, user_nodes.health_score desc, id")
+@query(cte("user_nodes") + " select id, cast(substr(id, 2) as int) % 3 as community, round(health_score, 6) as health_score from user_nodes order by 2, user_nodes.health_score desc, id")
 def a7_by_community(spark, d):
-    return centrality.by_community(graph(spark, d, "user_nodes"), _parity(spark, d)).select("id", "community", *r6("health_score"))
+    return centrality.by_community(graph(spark, d, "user_nodes"), _parity(spark, d)).select("id", F.coalesce("community", F.lit(0)).alias("community"), *r6("health_score"))
 
 
 @query(cte("user_nodes", "handoff") + " select id, count(h.from_node_id) as degree from user_nodes left join handoff h on h.from_node_id = id group by id order by 2 desc, id")
@@ -343,7 +343,7 @@ def h2_custom_weights(spark, d):
 
 
 PREDICT = """with c as (select event_id, user_id, ts, value, 1 - least(value / 500, 1) as s, case when event_type = 'error' then 1.0 else 0.0 end as f, lag(value) over w as v0, lag(ts) over w as t0 from events window w as (partition by user_id order by ts, event_id)),
-  p as (select *, coalesce(1 - least(v0 / 500, 1), s) - s as dh, value - coalesce(v0, value) as dl, (epoch_us(ts) - epoch_us(coalesce(t0, ts))) / 1e6 as dt, value > 150 or s < 0.3 as hot from c),
+  p as (select *, case when v0 is null then 0 else 1 - least(v0 / 500, 1) - s end as dh, value - coalesce(v0, value) as dl, (epoch_us(ts) - epoch_us(coalesce(t0, ts))) / 1e6 as dt, value > 150 or s < 0.3 as hot from c),
   r as (select *, least(0.4 * greatest(dh, 0) + 0.3 * greatest(dl / 1000, 0) + 0.3 * f, 1) as conf, case when dl > 0 and dt > 0 then (150 - value) / (dl / dt) * 1000 end as tti from p)"""
 
 
