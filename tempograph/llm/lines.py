@@ -140,7 +140,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield part(b.num_rows)
 
     kept = docs.drop("n_lines", "n_dropped").withColumn(text_col, text_of(text_col))
-    joined = kept.join(lost.select(F.col("doc_id").alias("__id"), F.col("lost").alias("__lost")), F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+    # A merge join at any size: the list grows with the corpus, and only both sides sorted can spill.
+    joined = kept.join(lost.select(F.col("doc_id").alias("__id"), F.col("lost").alias("__lost")).hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return joined.mapInArrow(run, f"{schema}, n_lines long, n_dropped long")
 
