@@ -303,5 +303,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without near duplicates: of each class the rows of its least doc_id stay, and rows of null id."""
-    gone = near_duplicates(docs, id_col, text_col, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct().hint("merge")  # it grows with the corpus
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
