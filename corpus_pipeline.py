@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's number of tokens and the digests of its ids and of what they decode to."""
     codec = bpe.Codec(spark, *vocabulary())
-    return codec.digests(codec.encode(docs)).withColumnRenamed("id", "doc_id")
+    return codec.encode_digests(docs).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("minhash_dedup", minhash_dedup), ("mix_sources", mix_sources), ("bpe_encode", bpe_encode)]

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_of
+from .common import text_of, tidy
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: A boundary nearer than this to a cut may change with what follows the cut: contractions have three characters.
 MARGIN = 4
+DIGESTS = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 PIECES = "row_id long, id long, piece long, ids array<int>"
 
 
@@ -52,8 +53,8 @@ class Codec:
             self.ranks = spark.sparkContext.broadcast(f.read())
         self.pattern, self.chunk, self.overlap = pattern, chunk, overlap
 
-    def _encoded(self, rows: DataFrame) -> DataFrame:
-        """rows: row_id, id, piece, text."""
+    def _encoder(self):
+        """From batches of row_id, id, piece, text to batches of PIECES."""
         ranks, pattern = self.ranks, self.pattern
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,15 +63,16 @@ class Codec:
                 at = 0
                 while at < b.num_rows:
                     got, size, start = [], 0, at
-                    while at < b.num_rows and size < 1 << 20:
+                    while at < b.num_rows and size < 1 << 19:
                         got.append(enc.encode_to_numpy(b.column(3)[at].as_py(), disallowed_special=()))
                         size += len(got[-1])
                         at += 1
                     ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
                     ids = pa.ListArray.from_arrays(ends, np.concatenate(got).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([*(b.column(i).slice(start, at - start) for i in range(3)), ids], ["row_id", "id", "piece", "ids"])
+                tidy()
 
-        return rows.mapInArrow(run, PIECES)
+        return run
 
     def _chunks(self, long: DataFrame) -> DataFrame:
         """Each long text as chunks that reach into the next one, and the pre-token boundaries of both overlaps."""
@@ -96,20 +98,11 @@ class Codec:
         schema = "row_id long, id long, piece long, start long, total long, body string"
         return long.mapInArrow(cut, schema).repartition("row_id", "piece").mapInArrow(mark, f"{schema}, heads array<long>, tails array<long>")
 
-    def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(row_id, id, piece, ids): the token ids of every row's text; a row's pieces follow each other in one partition.
-
-        Texts of at most `chunk` characters are one piece. Longer ones are cut into overlapping chunks, which are
-        pre-tokenised apart; two neighbours are stitched at the first boundary that both have in their overlap, since from
-        there on their pre-tokens agree, and that follows no blank, since the pattern takes blanks at an end otherwise than
-        blanks before a word. The pieces between stitches are encoded apart. A text with an overlap without
-        common boundary (a run of letters longer than it, say) is encoded as one piece. No text is cut short. Null and
-        empty texts give one piece without ids. row_id tells rows of equal or null ids apart; docs must be a table that
-        reads alike each time. Columns of other names are ignored.
-        """
+    def _pieces(self, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+        """(row_id, id, piece, text) of the texts of one piece, and of the pieces of longer ones."""
         rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
         size = F.length("text")
-        short = self._encoded(rows.filter(size <= self.chunk).select("row_id", "id", F.lit(0).cast("long").alias("piece"), "text"))
+        short = rows.filter(size <= self.chunk).select("row_id", "id", F.lit(0).cast("long").alias("piece"), "text")
         w = Window.partitionBy("row_id").orderBy("piece")
         marked = self._chunks(rows.filter(size > self.chunk))
         seams = marked.withColumn("at", F.when(F.col("piece") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("heads", F.lag("tails").over(w))))).drop("heads", "tails")
@@ -119,8 +112,31 @@ class Codec:
         own = F.struct("piece", F.substring("body", 1, self.chunk).alias("body"))
         whole = seams.filter("not stitched").groupBy("row_id", "id").agg(F.array_sort(F.collect_list(own)).alias("parts"))
         whole = whole.select("row_id", "id", F.lit(0).cast("long").alias("piece"), F.array_join(F.col("parts.body"), "").alias("text"))
-        long = self._encoded(pieces.unionByName(whole).repartition("row_id", "piece")).repartition("row_id").sortWithinPartitions("row_id", "piece")
-        return short.unionByName(long)
+        return short, pieces.unionByName(whole).repartition("row_id", "piece")
+
+    def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(row_id, id, piece, ids): the token ids of every row's text; a row's pieces follow each other in one partition.
+
+        Texts of at most `chunk` characters are one piece. Longer ones are cut into overlapping chunks, which are
+        pre-tokenised apart; two neighbours are stitched at the first boundary that both have in their overlap, since from
+        there on their pre-tokens agree, and that follows no blank, since the pattern takes blanks at an end otherwise than
+        blanks before a word. The pieces between stitches are encoded apart. A text with an overlap without common boundary
+        (a run of letters longer than it, say) is encoded as one piece. No text is cut short. Null and empty texts give one
+        piece without ids. row_id tells rows of equal or null ids apart; docs must be a table that reads alike each time.
+        Columns of other names are ignored.
+        """
+        short, long = self._pieces(docs, id_col, text_col)
+        return short.mapInArrow(self._encoder(), PIECES).unionByName(self._in_order(long))
+
+    def _in_order(self, pieces: DataFrame) -> DataFrame:
+        return pieces.mapInArrow(self._encoder(), PIECES).repartition("row_id").sortWithinPartitions("row_id", "piece")
+
+    def encode_digests(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """digests(encode(docs)), texts of one piece being encoded and hashed in one worker, so that their ids don't leave
+        it."""
+        short, long = self._pieces(docs, id_col, text_col)
+        encode, digest = self._encoder(), self._digester()
+        return short.mapInArrow(lambda batches: digest(encode(batches)), DIGESTS).unionByName(self.digests(self._in_order(long)))
 
     def decode(self, encoded: DataFrame) -> DataFrame:
         """(row_id, id, piece, bytes): the bytes of the tokens of each piece, as they stand; pieces may split a character."""
@@ -136,6 +152,9 @@ class Codec:
 
     def digests(self, encoded: DataFrame) -> DataFrame:
         """(id, n_tokens, ids_sha256, decoded_sha256) of each row, hashed piece by piece in order."""
+        return encoded.mapInArrow(self._digester(), DIGESTS)
+
+    def _digester(self):
         ranks, pattern = self.ranks, self.pattern
 
         def run(batches):
@@ -167,4 +186,4 @@ class Codec:
                 close()
                 yield flushed()
 
-        return encoded.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        return run

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,4 +20,13 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-__all__ = ["BLANKS", "BLANK_BYTES", "drop_dir", "shared_dir", "stored", "text_of"]
+def tidy() -> None:
+    """Gives back what a worker has freed. Workers are kept for later stages, and without this each keeps the most it ever
+    used, in Arrow's pool and in malloc's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+__all__ = ["BLANKS", "BLANK_BYTES", "drop_dir", "shared_dir", "stored", "text_of", "tidy"]

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_BYTES, drop_dir, shared_dir, stored, text_of
+from .common import BLANK_BYTES, drop_dir, shared_dir, stored, text_of, tidy
 
 MIN_CHARS, MIN_DOCS, FANOUT, BATCHES = 40, 5, 3, 4
 RUN = "key binary, n_docs long, keeper long"
@@ -37,6 +37,8 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])
                     keys, ids = [], []
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])
+            keys, ids = [], []
+            tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "key binary, doc_id long")
 
@@ -138,6 +140,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     yield part(i + 1)
                     texts, total, gone, size, at = [], [], [], 0, i + 1
             yield part(b.num_rows)
+            tidy()
 
     kept = docs.drop("n_lines", "n_dropped").withColumn(text_col, text_of(text_col))
     # A merge join at any size: the list grows with the corpus, and only both sides sorted can spill.

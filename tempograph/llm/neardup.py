@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_dir, stored, text_of
+from .common import drop_dir, stored, text_of, tidy
 from .components import connected_components
 from .sequences import _mix
 
@@ -131,7 +131,7 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _blocks(texts: list[str], words: int = 150_000):
+def _blocks(texts, words: int = 60_000):
     """Lists of word lists with about so many words together."""
     got, n = [], 0
     for t in texts:
@@ -155,7 +155,7 @@ def signed(docs: DataFrame, n: int = SHINGLE, k: int = COORDINATES, bands: int =
     def run(batches):
         for b in batches:
             at = 0
-            for block in _blocks(b.column(1).to_pylist()):
+            for block in _blocks(x.as_py() for x in b.column(1)):
                 doc, element = elements(block, n)
                 hashes = band_hashes(dart_signatures(doc, element, len(block), k), bands)
                 keep = np.array([len(x) > 0 for x in block])
@@ -163,6 +163,7 @@ def signed(docs: DataFrame, n: int = SHINGLE, k: int = COORDINATES, bands: int =
                 keys = pa.array(map(text_key, block), pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(block)), keys, pa.ListArray.from_arrays(ends, pa.array(flat))], ["id", "key", "bands"])
                 at += len(block)
+            tidy()
 
     return docs.select("id", "text").mapInArrow(run, "id long, key binary, bands array<long>")
 
@@ -172,11 +173,12 @@ def element_sets(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for block in _blocks(b.column(1).to_pylist()):
+            for block in _blocks(x.as_py() for x in b.column(1)):
                 doc, element = elements(block, n)
                 cuts = np.cumsum(np.bincount(doc, minlength=len(block)))[:-1]
                 sets = [x.tobytes() for x in np.split(element, cuts)]
                 yield pa.RecordBatch.from_arrays([pa.array(map(text_key, block), pa.binary()), pa.array(sets, pa.binary())], ["key", "elements"])
+            tidy()
 
     return docs.select("id", "text").mapInArrow(run, "key binary, elements binary")
 
@@ -199,6 +201,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 hit.append(jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= similarity)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
+            tidy()
 
     left = pairs.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("x")), "a")
     both = left.join(sets.select(F.col("key").alias("b"), F.col("elements").alias("y")), "b")
@@ -258,6 +261,7 @@ def _rest(star: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float
                 out = {(min(ka[i], kb[j]), max(ka[i], kb[j])) for i, j in zip(*np.nonzero(hit), strict=True)}
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(z, pa.binary()) for z in zip(*out, strict=True)], ["a", "b"])
+            tidy()
 
     return met.mapInArrow(run, "a binary, b binary").distinct()
 

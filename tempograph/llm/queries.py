@@ -70,7 +70,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.Codec(spark, *vocabulary())
-    out = codec.digests(codec.encode(table(spark, sf_dir, "documents")))
+    out = codec.encode_digests(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 

@@ -393,6 +393,7 @@ def test_bpe_equals_the_whole_text(spark, chunk, overlap):
     encoded = codec.encode(docs)
     expected = [(i, len(ids := enc.encode_ordinary(t or "")), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows]
     same(codec.digests(encoded).collect(), expected)
+    same(codec.encode_digests(docs).collect(), expected)
     whole = Counter()
     parts = {}
     for r in codec.decode(encoded).collect():
