@@ -25,7 +25,8 @@ def clusters(nodes: DataFrame, edges: DataFrame, mode: str = "reference", passes
 
     mode "reference": the gain used there never exceeds 0 from singletons without self-loops, so every node stays alone;
     graphs with self-loops are refused in this mode. mode "modularity": synchronous local moves to the community of
-    greatest gain, the least of equal ones, nodes of even and odd hash in turn; passes stop when modularity gains less.
+    greatest gain, the least of equal ones, half of the nodes after the other, halved anew each pass; passes stop when none moves or, after the
+    first two, modularity gains less than least_gain.
     """
     ids = nodes.select("id").distinct()
     if mode == "reference":
@@ -41,7 +42,7 @@ def clusters(nodes: DataFrame, edges: DataFrame, mode: str = "reference", passes
     if not total:
         return now
     strength = rounds.cut(e.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")))
-    best_q = modularity(edges, now).first()[0]
+    last_q, still = modularity(edges, now).first()[0], 0
     for p in range(2 * passes):
         k = now.join(strength, "id")
         size = k.groupBy("community").agg(F.sum("k").alias("tot"))
@@ -51,13 +52,18 @@ def clusters(nodes: DataFrame, edges: DataFrame, mode: str = "reference", passes
         gain = F.col("into") - F.col("k") * (F.col("tot") - F.when(F.col("community") == F.col("at"), F.col("k")).otherwise(0.0)) / total
         best = gains.withColumn("gain", gain).groupBy("id").agg(F.max(F.when(F.col("community") == F.col("at"), F.col("gain"))).alias("stay"), F.min(F.struct((-F.col("gain")).alias("loss"), "community")).alias("b"), F.first("k").alias("k"), F.first("at").alias("at"))
         alone = -F.col("k") * 0.0
-        moves = best.filter((-F.col("b.loss") > F.coalesce("stay", alone) + 1e-12) & (F.pmod(F.xxhash64("id"), F.lit(2)) == p % 2)).select("id", F.col("b.community").alias("new"))
-        then = rounds.cut(now.join(moves, "id", "left").select("id", F.coalesce("new", "community").alias("community")))
-        q = modularity(edges, then).first()[0]
-        if p % 2 and q - best_q < least_gain:
-            now = then if q > best_q else now
+        moves = best.filter((-F.col("b.loss") > F.coalesce("stay", alone) + 1e-12) & (F.pmod(F.xxhash64("id", F.lit(p // 2)), F.lit(2)) == p % 2)).select("id", F.col("b.community").alias("new"))
+        moves = rounds.cut(moves)
+        still = still + 1 if moves.isEmpty() else 0
+        if still == 2:  # neither half moves
             break
-        now, best_q = then, max(q, best_q) if p % 2 else best_q
+        if not still:
+            now = rounds.cut(now.join(moves, "id", "left").select("id", F.coalesce("new", "community").alias("community")))
+        if p > 1 and p % 2:
+            q = modularity(edges, now).first()[0]
+            if 0 <= q - last_q < least_gain:
+                break
+            last_q = q
     names = now.groupBy("community").agg(F.min("id").alias("name"))
     return now.join(names, "community").select("id", F.col("name").alias("community"))
 
