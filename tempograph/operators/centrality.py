@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +18,12 @@ def out_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(n, "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = D.PAGERANK[0], tolerance: float | None = D.PAGERANK[1], max_iterations: int = D.PAGERANK[2], cut_every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = D.PAGERANK[0], tolerance: float | None = D.PAGERANK[1], max_iterations: int = D.PAGERANK[2], cut_every: int = 5, local: int = D.LOCAL_EDGES) -> DataFrame:
     """(id, rank) by synchronous steps until no rank changes by more than the tolerance. Ranks of nodes without out-edges
     aren't handed out again. Edges to unknown nodes count for the out-degree; those from unknown nodes give nothing.
 
-    The graph is written once, with each edge's share; a step is one join on the source and one sum by target, combined
-    before its shuffle.
+    The graph is written once, with each edge's share. Up to `local` nodes and shares, both counted, take their steps in
+    one task; above it a step is one join on the source and one sum by target, combined before its shuffle.
     """
     rounds = Rounds(nodes.sparkSession, "pagerank")
     base = rounds.cut(nodes.select("id").distinct())
@@ -31,6 +33,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = D.PAGERANK[0],
     degree = edges.groupBy(F.col("from_node_id").alias("src")).agg(F.count("*").alias("degree"))
     shares = edges.select(F.col("from_node_id").alias("src"), F.col("to_node_id").alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("k")).join(degree, "src")
     shares = rounds.cut(shares.select("src", "dst", (F.col("k") / F.col("degree")).alias("share")))
+    if n <= local and shares.count() <= local:
+        rows = base.select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("share")).unionByName(shares).withColumn("g", F.lit(1))
+
+        def solve(rows: pd.DataFrame) -> pd.DataFrame:
+            return _ranked(rows, damping, tolerance, max_iterations, cut_every)
+
+        return rows.groupBy("g").applyInPandas(solve, "id string, rank double")
     ranks = base.withColumn("rank", F.lit(1.0 / n))
     for i in range(max_iterations):
         got = shares.join(ranks, shares["src"] == ranks["id"]).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
@@ -44,26 +53,126 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = D.PAGERANK[0],
     return ranks
 
 
-def _reach(nodes: DataFrame, edges: DataFrame, sources: DataFrame, rounds: Rounds):
+def _ranked(rows: pd.DataFrame, damping: float, tolerance: float | None, max_iterations: int, cut_every: int) -> pd.DataFrame:
+    """The ranks of one task: rows without dst are the nodes, the others shares."""
+    is_node = rows["dst"].isna()
+    ids = pd.Index(rows["src"][is_node])
+    src, dst = ids.get_indexer(rows["src"][~is_node]), ids.get_indexer(rows["dst"][~is_node])
+    there = (src >= 0) & (dst >= 0)
+    src, dst, share = src[there], dst[there], rows["share"][~is_node].to_numpy()[there]
+    rank = np.full(len(ids), 1.0 / len(ids))
+    for i in range(max_iterations):
+        new = (1 - damping) / len(ids) + damping * np.bincount(dst, rank[src] * share, len(ids))
+        change, rank = np.abs(new - rank).max(), new
+        if tolerance is not None and (i + 1) % cut_every == 0 and change < tolerance:
+            break
+    return pd.DataFrame({"id": ids, "rank": rank})
+
+
+class _Packed:
+    """A graph as arrays: out-edges of node i are dst[start[i]:start[i + 1]], each with its number of parallel edges."""
+
+    def __init__(self, e: pd.DataFrame):
+        codes, ids = pd.factorize(pd.concat([e["src"], e["dst"]]))
+        src, dst = codes[: len(e)], codes[len(e) :]
+        order = np.argsort(src, kind="stable")
+        self.ids, self.at = np.asarray(ids, dtype=object), {x: i for i, x in enumerate(ids)}
+        self.dst, self.k = dst[order], e["k"].to_numpy()[order]
+        self.start = np.searchsorted(src[order], np.arange(len(ids) + 1))
+
+    def search(self, source: int) -> tuple[np.ndarray, int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Breadth first: numbers of shortest paths, the sum of distances, and each level's edges (from, to, how many)."""
+        paths, seen = np.zeros(len(self.ids)), np.zeros(len(self.ids), bool)
+        front, total, steps = np.array([source]), 0, []
+        paths[source], seen[source] = 1.0, True
+        while True:
+            n = self.start[front + 1] - self.start[front]
+            at = np.repeat(self.start[front] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            a, b = np.repeat(front, n), self.dst[at]
+            new = ~seen[b]
+            a, b, k = a[new], b[new], self.k[at][new]
+            if not len(b):
+                return paths, total, steps
+            np.add.at(paths, b, paths[a] * k)
+            front = np.unique(b)
+            seen[front] = True
+            steps.append((a, b, k))
+            total += len(front) * len(steps)
+
+
+def _searched(e: DataFrame, sources: DataFrame, visit, finish, schema: str) -> DataFrame:
+    """Searches from each source in a graph whose edges (src, dst, k) are counted and few: the sources are spread over
+    tasks, and each task has the whole graph. visit(graph, code, state) takes one source in, finish(graph, state) gives a
+    task's rows."""
+    spark = sources.sparkSession
+    packed = spark.sparkContext.broadcast(_Packed(e.toPandas()))
+
+    def run(batches):
+        g, state = packed.value, {}
+        for batch in batches:
+            for s in batch["id"]:
+                visit(g, s, state)
+        yield finish(g, state)
+
+    return sources.select("id").repartition(max(spark.sparkContext.defaultParallelism, 1), "id").mapInPandas(run, schema)
+
+
+def _count_paths(g: _Packed, s: str, state: dict) -> None:
+    """Adds to every node's score what it gains by paths from s, from the last level back."""
+    if s not in g.at:
+        return
+    code = g.at[s]
+    paths, _, steps = g.search(code)
+    delta = np.zeros(len(g.ids))
+    for a, b, k in reversed(steps):
+        np.add.at(delta, a, paths[a] * k / paths[b] * (1 + delta[b]))
+    delta[code] = 0.0
+    state["score"] = state.get("score", 0.0) + delta
+
+
+def _scores(g: _Packed, state: dict) -> pd.DataFrame:
+    score = np.broadcast_to(state.get("score", 0.0), len(g.ids))
+    return pd.DataFrame({"id": g.ids[score > 0], "score": score[score > 0]})
+
+
+def _sum_distances(g: _Packed, s: str, state: dict) -> None:
+    state[s] = g.search(g.at[s])[1] if s in g.at else 0
+
+
+def _sums(g: _Packed, state: dict) -> pd.DataFrame:
+    return pd.DataFrame({"id": list(state), "sum": list(state.values())}).astype({"id": object, "sum": "int64"})
+
+
+def _packed_edges(nodes: DataFrame, edges: DataFrame, rounds: Rounds) -> DataFrame:
+    """(src, dst, k) of edges between nodes that exist, k parallel ones."""
+    return rounds.cut(known_edges(nodes, edges).groupBy("src", "dst").agg(F.count("*").cast("double").alias("k")))
+
+
+def _reach(e: DataFrame, sources: DataFrame, rounds: Rounds) -> list[DataFrame]:
     """Levels of (source, id, paths): nodes at each distance from each source and the number of shortest paths to them."""
-    e = rounds.cut(known_edges(nodes, edges).groupBy("src", "dst").agg(F.count("*").cast("double").alias("k")))
     level = rounds.cut(sources.select(F.col("id").alias("source"), "id", F.lit(1.0).alias("paths")))
     levels, visited = [level], level.select("source", "id")
     while True:
         step = level.join(e, level["id"] == e["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.sum(F.col("paths") * F.col("k")).alias("paths"))
         level = rounds.cut(step.join(visited, ["source", "id"], "left_anti"))
         if level.isEmpty():
-            return e, levels
+            return levels
         levels.append(level)
         visited = visited.unionAll(level.select("source", "id"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, local: int = D.LOCAL_EDGES) -> DataFrame:
     """(id, score) of all nodes: shortest paths through each (Brandes), directed, not normalised, ends excluded, parallel
-    edges as several paths. All sources, or those given, are searched at once, keyed by source."""
+    edges as several paths. Graphs of at most `local` counted edges are handed to tasks that share out the sources; in larger
+    ones all sources, or those given, are searched at once, keyed by source."""
     rounds = Rounds(nodes.sparkSession, "between")
     ids = nodes.select("id").distinct()
-    e, levels = _reach(nodes, edges, ids if sources is None else ids.join(sources.select("id"), "id", "left_semi"), rounds)
+    chosen = ids if sources is None else ids.join(sources.select("id"), "id", "left_semi")
+    e = _packed_edges(nodes, edges, rounds)
+    if e.count() <= local:
+        score = _searched(e, chosen, _count_paths, _scores, "id string, score double").groupBy("id").agg(F.sum("score").alias("score"))
+        return ids.join(score, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    levels = _reach(e, chosen, rounds)
     below = levels[-1].withColumn("delta", F.lit(0.0))
     parts = [below]
     for level in reversed(levels[:-1]):
@@ -79,19 +188,22 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None =
     return ids.join(score, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def closeness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def closeness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, local: int = D.LOCAL_EDGES) -> DataFrame:
     """(id, score) of the sources: (nodes - 1) over the sum of distances to what they reach; 0 if nothing, 1 in a graph of
     one node."""
     rounds = Rounds(nodes.sparkSession, "close")
     ids = nodes.select("id").distinct()
     n = ids.count()
     chosen = ids if sources is None else ids.join(sources.select("id"), "id", "left_semi")
-    _, levels = _reach(nodes, edges, chosen, rounds)
-    total = None
-    for d, level in enumerate(levels):
-        part = level.groupBy(F.col("source").alias("id")).agg((F.count("*") * d).alias("sum"))
-        total = part if total is None else total.unionAll(part)
-    total = total.groupBy("id").agg(F.sum("sum").alias("sum"))
+    e = _packed_edges(nodes, edges, rounds)
+    if e.count() <= local:
+        total = _searched(e, chosen, _sum_distances, _sums, "id string, sum long")
+    else:
+        total = None
+        for d, level in enumerate(_reach(e, chosen, rounds)):
+            part = level.groupBy(F.col("source").alias("id")).agg((F.count("*") * d).alias("sum"))
+            total = part if total is None else total.unionAll(part)
+        total = total.groupBy("id").agg(F.sum("sum").alias("sum"))
     score = F.lit(1.0) if n == 1 else F.when(F.col("sum") > 0, (n - 1) / F.col("sum")).otherwise(0.0)
     return chosen.join(total, "id", "left").select("id", score.alias("score"))
 

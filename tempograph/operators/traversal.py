@@ -28,8 +28,9 @@ def walkable(nodes: DataFrame, edges: DataFrame, edge_type: str | None, predicat
     return out.join(there.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
-def _levels(walk: DataFrame, first: DataFrame, max_depth: int, rounds: Rounds, stop):
-    """Yields each level after the first: (id, place, path, types, weights). Only the visited ids are kept besides."""
+def _levels(walk: DataFrame, first: DataFrame, max_depth: int, rounds: Rounds, target: str | None = None):
+    """Yields each level after the first, its depth and its size, up to the one with the target: (id, place, path, types,
+    weights). Only the visited ids are kept besides."""
     level, visited, depth = first, first.select("id"), 0
     while depth < max_depth:
         depth += 1
@@ -39,10 +40,11 @@ def _levels(walk: DataFrame, first: DataFrame, max_depth: int, rounds: Rounds, s
         )
         best = step.groupBy("id").agg(F.min(F.struct("place", "path", "types", "weights")).alias("b")).select("id", "b.*")
         level = rounds.cut(best.join(visited, "id", "left_anti"))
-        if level.isEmpty():
+        n, hit = level.agg(F.count("*"), F.coalesce(F.bool_or(F.col("id") == F.lit(target)), F.lit(False))).first()  # one job tells both
+        if not n:
             return
-        yield level, depth
-        if stop(level):
+        yield level, depth, n
+        if hit:
             return
         visited = visited.unionAll(level.select("id"))
 
@@ -59,15 +61,12 @@ def traverse(nodes: DataFrame, edges: DataFrame, start: str, edge_type: str | No
     given = first if predicate is None else first.join(nodes.filter(predicate).select("id"), "id", "left_semi")
     found, n = [given.select("id", F.lit(0).alias("depth"), "place")], given.count()
     walk = rounds.cut(walkable(nodes, edges, edge_type, predicate, min_weight, min_confidence))
-    seen = n
-
-    def enough(level):
-        nonlocal seen
-        seen += level.count()
-        return seen >= limit
-
-    for level, depth in _levels(walk, first, max_depth if n or not first.isEmpty() else 0, rounds, enough) if seen < limit else ():
-        found.append(level.select("id", F.lit(depth).alias("depth"), "place"))
+    if n < limit and (n or not first.isEmpty()):
+        for level, depth, size in _levels(walk, first, max_depth, rounds):
+            found.append(level.select("id", F.lit(depth).alias("depth"), "place"))
+            n += size
+            if n >= limit:
+                break
     every = found[0]
     for f in found[1:]:
         every = every.unionAll(f)
@@ -84,7 +83,7 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, target: str, e
     hit = first.filter(F.col("id") == target)
     if start != target and not first.isEmpty():
         walk = rounds.cut(walkable(nodes, edges, edge_type, predicate, min_weight, min_confidence))
-        for level, _ in _levels(walk, first, max_depth, rounds, lambda x: not x.filter(F.col("id") == target).isEmpty()):
+        for level, _, _ in _levels(walk, first, max_depth, rounds, target):
             hit = level.filter(F.col("id") == target)
     parts = hit.select(F.posexplode("path").alias("position", "id"), "types", "weights")
     weight = F.when(F.col("position") == 0, 0.0).otherwise(F.get("weights", F.col("position") - 1))

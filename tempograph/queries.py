@@ -454,4 +454,4 @@ def m2_consumer(spark, d):
     return consume(spark, rows, graph(spark, d, "handoff")).select("node_id", "n", *r6("failure_prob", "predicted_latency_ms", "resource_strain", "health_score"))
 
 
-HEADLINE = ("n7_order_limit", "n5_asof", "n10_edges_asof", "t2_traverse", "t1_shortest_path", "a1_degree", "a2_pagerank", "a4_betweenness_subset", "a12_topological", "a15_scc", "a16_wcc", "a17_hll", "h3_health_vectors", "h6_bottlenecks", "h16_decay", "s4_upsert")
+HEADLINE = ("n7_order_limit", "n5_asof", "n10_edges_asof", "t2_traverse", "t1_shortest_path", "a1_degree", "a2_pagerank", "a3_betweenness", "a5_closeness", "a12_topological", "a15_scc", "a16_wcc", "a17_hll", "h3_health_vectors", "h6_bottlenecks", "h16_decay", "s4_upsert")

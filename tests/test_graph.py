@@ -99,18 +99,31 @@ def test_long_chain_is_sorted(spark):
     assert tuple(top) == (99_999, 100_000, 0)
 
 
-def test_centralities(spark):
+@pytest.mark.parametrize("local", [100, 0])
+def test_centralities(spark, local):
     n = nodes(spark, A=1, B=1, C=1)
-    between = {r.id: r.score for r in centrality.betweenness(n, edges(spark, "AB", "BC")).collect()}
+    between = {r.id: r.score for r in centrality.betweenness(n, edges(spark, "AB", "BC"), local=local).collect()}
     assert between == {"A": 0.0, "B": 1.0, "C": 0.0}
-    ranks = {r.id: r.rank for r in centrality.pagerank(nodes(spark, A=1, B=1), edges(spark, "AB", "BA")).collect()}
+    ranks = {r.id: r.rank for r in centrality.pagerank(nodes(spark, A=1, B=1), edges(spark, "AB", "BA"), local=local).collect()}
     assert ranks["A"] == pytest.approx(ranks["B"]) == pytest.approx(0.5)
-    close = {r.id: r.score for r in centrality.closeness(n, edges(spark, "AB", "BC")).collect()}
+    close = {r.id: r.score for r in centrality.closeness(n, edges(spark, "AB", "BC"), local=local).collect()}
     assert close == {"A": pytest.approx(2 / 3), "B": 2.0, "C": 0.0}
-    assert centrality.closeness(nodes(spark, A=1), edges(spark, "AB")).first().score == 1.0
+    assert centrality.closeness(nodes(spark, A=1), edges(spark, "AB"), local=local).first().score == 1.0
     assert [r.id for r in centrality.by_degree(n, edges(spark, "BA", "BC")).collect()][0] == "B"
 
 
+def test_local_and_joined_centralities_agree(spark):
+    """Parallel edges, loops, edges to unknown nodes, chosen sources and none."""
+    n = nodes(spark, A=1, B=1, C=1, D=1, E=1, F=1)
+    e = edges(spark, "AB", "AB", "AC", "BD", "CD", "DE", "EA", "EE", "DX", "YA")
+    some = n.filter("id in ('A', 'F')")
+    table = lambda df: {r[0]: r[1] for r in df.collect()}
+    for one in (lambda k: centrality.betweenness(n, e, some, k), lambda k: centrality.closeness(n, e, local=k), lambda k: centrality.pagerank(n, e, max_iterations=5, local=k)):
+        assert table(one(100)) == pytest.approx(table(one(0)))
+    assert centrality.closeness(n, e, n.limit(0)).isEmpty()
+    assert set(table(centrality.betweenness(n, edges(spark, "XY"))).values()) == {0.0}
+
+
 def test_communities(spark):
     n = nodes(spark, A=1, B=1, C=1, D=1, E=1, F=1)
     e = edges(spark, "AB", "BC", "CA", "DE", "EF", "FD", "CD")
