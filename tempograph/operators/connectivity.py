@@ -59,42 +59,44 @@ def known_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
-def _one_task(nodes: DataFrame, e: DataFrame, solve, schema: str) -> DataFrame:
-    """A graph whose edges are counted and few, solved in one task: its depth then costs no jobs."""
-    rows = nodes.select(F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(1).alias("g")).unionAll(e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).alias("g")))
-    return rows.groupBy("g").applyInPandas(solve, schema)
+def _one_task(e: DataFrame, solve, schema: str) -> DataFrame:
+    """Edges that are counted and few, solved in one task: their depth then costs no jobs. Nodes without edges stay out, as
+    nobody counted them."""
+    return e.select("src", "dst", F.lit(1).alias("g")).groupBy("g").applyInPandas(solve, schema)
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame, local_edges: int = D.LOCAL_EDGES) -> DataFrame:
     """(id, level, is_cyclic): level is the longest path to a node from one without predecessors; nodes on a cycle or after
-    one have none and are cyclic. Ordered by (level, id), the others are a topological order. Small graphs are peeled in
-    one task, larger ones level by level."""
+    one have none and are cyclic. Ordered by (level, id), the others are a topological order.
+
+    Level by level, the targets of the edges left are what lies deeper, and the edges that start there are what is left: one
+    table a level, each smaller. As soon as few edges are left, one task peels them.
+    """
     e, path = stored(known_edges(nodes, edges), "topo")
-    if e.count() <= local_edges:
-        return _one_task(nodes, e, _peel, "id string, level int, is_cyclic boolean")
-    rounds = Rounds(nodes.sparkSession, "topo")
-    left = rounds.cut(nodes.select("id").distinct())
-    done, level = None, 0
-    while True:
-        inner = e.join(left.withColumnRenamed("id", "src"), "src", "left_semi")
-        free = rounds.cut(left.join(inner.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
-        if free.isEmpty():
-            break
-        now = free.select("id", F.lit(level).alias("level"))
-        done = now if done is None else done.unionAll(now)
-        left, level = rounds.cut(left.join(free, "id", "left_anti")), level + 1
-    cyclic = left.select("id", F.lit(None).cast("int").alias("level"))
-    every = cyclic if done is None else done.unionAll(cyclic)
-    return every.withColumn("is_cyclic", F.col("level").isNull())
+    rounds, n, was = Rounds(nodes.sparkSession, "topo"), e.count(), -1
+    levels = nodes.select("id", F.lit(0).alias("level"))
+    depth = 0
+    while n > local_edges and n != was:
+        depth += 1
+        deeper = e.select(F.col("dst").alias("id")).distinct()
+        levels = levels.unionAll(deeper.select("id", F.lit(depth).alias("level")))
+        e, was = rounds.cut(e.join(deeper.withColumnRenamed("id", "src"), "src", "left_semi")), n
+        n = e.count()
+    levels = levels.groupBy("id").agg(F.max("level").alias("level"))
+    if n > local_edges:  # all that is left is on cycles or after them
+        cyclic = F.col("level") == depth
+        return levels.select("id", F.when(~cyclic, F.col("level")).alias("level"), cyclic.alias("is_cyclic"))
+    rest = _one_task(e, _peel, "id string, more int, is_cyclic boolean")
+    cyclic = F.coalesce("is_cyclic", F.lit(False))
+    level = F.when(~cyclic, F.col("level") + F.coalesce("more", F.lit(0)))
+    return levels.join(rest, "id", "left").select("id", level.alias("level"), cyclic.alias("is_cyclic"))
 
 
 def _peel(rows: pd.DataFrame) -> pd.DataFrame:
-    is_node = rows["b"].isna()
-    codes, ids = pd.factorize(rows["a"][is_node])
-    at = {x: i for i, x in enumerate(ids)}
+    codes, ids = pd.factorize(pd.concat([rows["src"], rows["dst"]]))
     out: list[list[int]] = [[] for _ in ids]
     degree = [0] * len(ids)
-    for a, b in zip(rows["a"][~is_node].map(at), rows["b"][~is_node].map(at), strict=True):
+    for a, b in zip(codes[: len(rows)].tolist(), codes[len(rows) :].tolist(), strict=True):
         out[a].append(b)
         degree[b] += 1
     level: list[int | None] = [None] * len(ids)
@@ -108,7 +110,7 @@ def _peel(rows: pd.DataFrame) -> pd.DataFrame:
                 if not degree[b]:
                     then.append(b)
         now, depth = then, depth + 1
-    return pd.DataFrame({"id": ids, "level": pd.array(level, dtype="Int32"), "is_cyclic": [x is None for x in level]})
+    return pd.DataFrame({"id": ids, "more": pd.array(level, dtype="Int32"), "is_cyclic": [x is None for x in level]})
 
 
 def has_cycles(nodes: DataFrame, edges: DataFrame, local_edges: int = D.LOCAL_EDGES) -> DataFrame:
@@ -125,7 +127,8 @@ def strong_components(nodes: DataFrame, edges: DataFrame, local_edges: int = D.L
     """
     e, path = stored(known_edges(nodes, edges).filter("src <> dst").distinct(), "scc")
     if e.count() <= local_edges:
-        return _one_task(nodes, e, _strong, "id string, component string")
+        found = _one_task(e, _strong, "id string, component string")
+        return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     rounds = Rounds(nodes.sparkSession, "scc")
     done = rounds.cut(nodes.select("id").distinct().limit(0).withColumn("component", F.col("id")))
     left = rounds.cut(nodes.select("id").distinct())
@@ -160,11 +163,10 @@ def strong_components(nodes: DataFrame, edges: DataFrame, local_edges: int = D.L
 
 def _strong(rows: pd.DataFrame) -> pd.DataFrame:
     """By forward reach in finishing order, then backward (Kosaraju), without recursion."""
-    is_node = rows["b"].isna()
-    ids = sorted(set(rows["a"][is_node]))
+    ids = sorted({*rows["src"], *rows["dst"]})
     out: dict[str, list[str]] = {i: [] for i in ids}
     into: dict[str, list[str]] = {i: [] for i in ids}
-    for a, b in zip(rows["a"][~is_node], rows["b"][~is_node], strict=True):
+    for a, b in zip(rows["src"], rows["dst"], strict=True):
         out[a].append(b)
         into[b].append(a)
     order, seen = [], set()

@@ -172,8 +172,9 @@ def t6_node_filter(spark, d):
   select cast(i as int) as position, path[i + 1] as id, types[i] as edge_type, round(case when i = 0 then 0 else weights[i] end, 6) as weight, round(list_sum(weights), 6) as total_weight from u""")
 def t1_shortest_path(spark, d):
     q = commerce(spark, d)
-    c = q.edge_table.filter("from_node_id = 'o1' and type = 'DerivedFrom'").join(q.edge_table.selectExpr("from_node_id as f", "to_node_id as n"), F.col("to_node_id") == F.col("f"))
-    target = c.join(q.edge_table.selectExpr("from_node_id as g", "to_node_id as r"), F.col("n") == F.col("g")).select("r").first()[0]
+    orders, customer, nation = (table(spark, d, t) for t in ("orders", "customer", "nation"))
+    region = orders.filter("o_orderkey = 1").join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    target = region.select(F.concat(F.lit("r"), "n_regionkey")).first()[0]
     out = traversal.shortest_path(q.node_table, q.edge_table, "o1", target, edge_type=None, max_depth=5)
     return out.select("position", "id", "edge_type", *r6("weight", "total_weight"))
 

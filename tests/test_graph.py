@@ -192,3 +192,12 @@ def test_consolidation(spark):
     assert out.id == "consolidated_new" and out.confidence == pytest.approx((5 * 0.7 + 0.8) / 6 + 0.1)
     assert health.consolidate(make(["new"], 0.8), make("a", 0.7)).first().id == "new"
     assert health.consolidate_all(make("abcdef", 0.5)).count() == 1
+
+
+@pytest.mark.parametrize("local", [0, 3, 1000])
+def test_levels_by_tables_and_in_one_task(spark, local):
+    """A graph that splits into nodes without edges, levels, and a cycle with what lies after it."""
+    n, e = nodes(spark, **dict.fromkeys("ABCDEFGHZ", 1.0)), edges(spark, "AB", "BC", "AC", "CD", "BD", "EF", "FE", "FG", "GH", "AB")
+    got = {r.id: (r.level, r.is_cyclic) for r in connectivity.topological_order(n, e, local).collect()}
+    assert got == {"A": (0, False), "B": (1, False), "C": (2, False), "D": (3, False), "Z": (0, False), **{x: (None, True) for x in "EFGH"}}
+    assert {r.id: r.component for r in connectivity.strong_components(n, e, local).collect()} == {**{x: x for x in "ABCDGHZ"}, "E": "E", "F": "E"}
