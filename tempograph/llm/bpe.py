@@ -20,6 +20,7 @@ CHUNK, OVERLAP = 32_768, 1_024
 MARGIN = 4
 DIGESTS = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 PIECES = "row_id long, id long, piece long, ids array<int>"
+PACKED = "id long, n long, ids binary"
 
 
 @lru_cache(maxsize=4)
@@ -42,6 +43,36 @@ def boundaries(text: str, pattern: str) -> list[int]:
     return [m.end() for m in _pattern(pattern).finditer(text)]
 
 
+def _packer(dtype: str):
+    """From batches of PIECES, a row's pieces in order, to batches of PACKED."""
+    size = np.dtype(dtype).itemsize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, key, parts, out = None, None, [], []
+
+        def flushed():
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([len(x[1]) // size for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["id", "n", "ids"])
+
+        for b in batches:
+            ids, at = b.column(3), 0
+            raw = ids.flatten().to_numpy().astype(dtype).tobytes()
+            for r, k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ids.value_lengths().to_pylist(), strict=True):
+                if r != row:
+                    if row is not None:
+                        out.append((key, b"".join(parts)))
+                    row, key, parts = r, k, []
+                parts.append(raw[at : at + n * size])
+                at += n * size
+            if out:
+                yield flushed()
+                out = []
+        if row is not None:
+            out.append((key, b"".join(parts)))
+            yield flushed()
+
+    return run
+
+
 class Codec:
     """Encodes and decodes with a file of ranks. The file's bytes go to the executors in a broadcast: a vocabulary
     has a fixed size, below a few MB, whatever the corpus."""
@@ -53,6 +84,11 @@ class Codec:
             self.ranks = spark.sparkContext.broadcast(f.read())
         self.pattern, self.chunk, self.overlap = pattern, chunk, overlap
 
+    @property
+    def size(self) -> int:
+        """One more than the largest id."""
+        return 1 + max(int(x.split()[1]) for x in self.ranks.value.splitlines() if x)
+
     def _encoder(self):
         """From batches of row_id, id, piece, text to batches of PIECES."""
         ranks, pattern = self.ranks, self.pattern
@@ -138,6 +174,12 @@ class Codec:
         encode, digest = self._encoder(), self._digester()
         return short.mapInArrow(lambda batches: digest(encode(batches)), DIGESTS).unionByName(self.digests(self._in_order(long)))
 
+    def encode_packed(self, dtype: str, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(id, n, ids): how many ids each row's text has, and they as one binary of that dtype."""
+        short, long = self._pieces(docs, id_col, text_col)
+        encode, pack = self._encoder(), _packer(dtype)
+        return short.mapInArrow(lambda batches: pack(encode(batches)), PACKED).unionByName(self._in_order(long).mapInArrow(pack, PACKED))
+
     def decode(self, encoded: DataFrame) -> DataFrame:
         """(row_id, id, piece, bytes): the bytes of the tokens of each piece, as they stand; pieces may split a character."""
         ranks, pattern = self.ranks, self.pattern

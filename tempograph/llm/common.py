@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.loop import drop_dir, shared_dir, stored
+from ..plans.loop import drop_dir, shared_dir, shuffles_freed, stored
 
 #: The characters that separate words and are stripped from lines: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -29,4 +29,4 @@ def tidy() -> None:
         trim(0)
 
 
-__all__ = ["BLANKS", "BLANK_BYTES", "drop_dir", "shared_dir", "stored", "text_of", "tidy"]
+__all__ = ["BLANKS", "BLANK_BYTES", "drop_dir", "shared_dir", "shuffles_freed", "stored", "text_of", "tidy"]

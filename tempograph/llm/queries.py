@@ -44,9 +44,10 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each sequence of the corpus was written, read back from the shards."""
-    manifest, path, _ = sequences.materialise(table(spark, sf_dir, "documents"))
-    return sequences.read_sequences(spark, manifest, path).select("slot", "shard", "record", "doc_id", "sequence", "n_ids", F.crc32("ids").alias("ids_crc32"))
+    """Where each sequence of the corpus's token ids was written, read back from the shards."""
+    codec = bpe.Codec(spark, *vocabulary())
+    manifest, path, _ = sequences.materialise(table(spark, sf_dir, "documents"), codec=codec)
+    return sequences.read_sequences(spark, manifest, path, codec=codec).select("slot", "shard", "record", "doc_id", "sequence", "n_ids", F.crc32("ids").alias("ids_crc32"))
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

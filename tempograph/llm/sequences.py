@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_dir, shared_dir, stored, text_of
+from .bpe import Codec
+from .common import drop_dir, shared_dir, shuffles_freed, stored, text_of
 
 #: Ids that no UTF-8 text has: they end a document and fill its last sequence.
 END, PAD = 255, 254
@@ -31,6 +32,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@dataclass(frozen=True)
+class Form:
+    """How ids are written: their dtype, the id that ends a document and the one that fills its last sequence."""
+
+    dtype: str = "u1"
+    end: int = END
+    pad: int = PAD
+
+    @property
+    def width(self) -> int:
+        return np.dtype(self.dtype).itemsize
+
+    def raw(self, *ids: int) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+
+def form_of(codec: Codec | None) -> Form:
+    """That of UTF-8 bytes without a codec; else the codec's ids and two above them, in 16 bits if those hold them."""
+    if codec is None:
+        return Form()
+    n = codec.size
+    return Form("<u2" if n + 2 <= 1 << 16 else "<u4", n, n + 1)
+
+
 @dataclass(frozen=True)
 class Permutation:
     """A keyed permutation of 0 .. n - 1: a balanced Feistel network on the least even number of bits that hold n, walked
@@ -81,14 +106,15 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def counted(text: Column, length: int) -> Column:
-    """Sequences that a text's bytes and its end fill."""
-    return F.ceil((F.octet_length(text) + 1) / length).cast("long")
+def counted(n: Column, length: int) -> Column:
+    """Sequences that a text's n ids and its end fill."""
+    return F.ceil((n + 1) / length).cast("long")
 
 
-def _scatter(rows: DataFrame, bases: dict[int, tuple[int, int]], order: Permutation, per_shard: int, length: int) -> DataFrame:
+def _scatter(rows: DataFrame, bases: dict[int, tuple[int, int]], order: Permutation, per_shard: int, length: int, form: Form) -> DataFrame:
     """(shard, part): the records that a few MB of documents send to one shard, compressed as one part."""
-    stride = HEAD_SIZE + length
+    width, last, fill = form.width, form.raw(form.end), form.raw(form.pad)
+    stride = HEAD_SIZE + length * width
 
     def run(batches: Iterator[pa.RecordBatch]):
         import zstandard
@@ -110,11 +136,12 @@ def _scatter(rows: DataFrame, bases: dict[int, tuple[int, int]], order: Permutat
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["shard", "part"])
 
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = text.as_py().encode() + bytes([END])
-                for k, s in enumerate(range(0, len(ids), length)):
-                    own = ids[s : s + length]
-                    records.append((struct.pack(HEADER, NULL_ID if key is None else key, k, len(own)) + own).ljust(stride, bytes([PAD])))
+            for key, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids = data.as_py() + last
+                for k, s in enumerate(range(0, len(ids), length * width)):
+                    own = ids[s : s + length * width]
+                    n = len(own) // width
+                    records.append(struct.pack(HEADER, NULL_ID if key is None else key, k, n) + own + fill * (length - n))
                 if at + len(records) > end:
                     raise RuntimeError("docs were split otherwise than when they were counted")
                 if len(records) * stride > 8 << 20:
@@ -124,12 +151,11 @@ def _scatter(rows: DataFrame, bases: dict[int, tuple[int, int]], order: Permutat
         if at != end:
             raise RuntimeError("docs were split otherwise than when they were counted")
 
-    return rows.mapInArrow(run, "shard int, part binary")
+    return rows.select("id", "ids").mapInArrow(run, "shard int, part binary")
 
 
-def _write(parts: DataFrame, path: str, total: int, per_shard: int, length: int) -> DataFrame:
+def _write(parts: DataFrame, path: str, total: int, per_shard: int, stride: int) -> DataFrame:
     """(shard, file, first_slot, records, crc32) of each shard written."""
-    stride = HEAD_SIZE + length
 
     def run(batches: Iterator[pa.RecordBatch]):
         import zstandard
@@ -161,48 +187,67 @@ def _write(parts: DataFrame, path: str, total: int, per_shard: int, length: int)
     return parts.mapInArrow(run, "shard int, file string, first_slot long, records long, crc32 long")
 
 
-def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, key: int = KEY, path: str | None = None) -> tuple[DataFrame, str, Permutation]:
-    """Writes all texts, as ids of their UTF-8 bytes, in training order; returns (manifest, folder, permutation).
+def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, key: int = KEY, path: str | None = None, codec: Codec | None = None) -> tuple[DataFrame, str, Permutation]:
+    """Writes all texts in training order, as the codec's token ids or, without one, as ids of their UTF-8 bytes; returns
+    (manifest, folder, permutation).
 
-    A text's ids and END are cut into sequences of `length`, the last filled with PAD; null and empty texts are END alone.
-    Sequences are numbered along the input's partitions, each partition's base being the count of those before it (one
-    number for each partition). A Feistel permutation of all numbers gives every sequence its slot, and slots are cut into
-    shards of equal records, so record r of shard s is at byte r * stride, and slot and document are computed from each
-    other. docs must be split alike in both passes, as a table is; where a pass finds otherwise, docs are written to the
-    shared folder, and both are run again on that. A shard is assembled in a buffer of shard_bytes, and its file is moved into place when whole.
+    A text's ids and an end are cut into sequences of `length`, the last one filled (form_of tells with what); null and
+    empty texts are an end alone. Texts are encoded once: their ids are kept in the shared folder until the shards are
+    written. Sequences are numbered along the partitions of those ids (without a codec, of docs), each partition's base
+    being the count of those before it (one number for each partition). A Feistel permutation of all numbers gives every
+    sequence its slot, and slots are cut into shards of equal records, so record r of shard s is at byte r * stride, and
+    slot and document are computed from each other. The table must be split alike in both passes, as a stored one is;
+    where a pass finds otherwise, it is written to the shared folder, and both are run again on that. A shard is assembled
+    in a buffer of shard_bytes, and its file is moved into place when whole.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    spark, form, kept = docs.sparkSession, form_of(codec), []
     path = path or shared_dir(spark, "sequences")
-    stride = HEAD_SIZE + length
+    stride = HEAD_SIZE + length * form.width
     per_shard = max(1, shard_bytes // stride)
-    for last in (False, True):
-        counts = sorted((r[0], r[1]) for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(counted(F.col("text"), length))).collect())
-        bases, total = {}, 0
-        for p, n in counts:
-            bases[p] = (total, n)
-            total += n
-        order = Permutation(total, key)
-        shards = -(-total // per_shard)
-        if not total:
-            return spark.createDataFrame([], "shard int, file string, first_slot long, records long, crc32 long"), path, order
-        parts = _scatter(rows, bases, order, per_shard, length).repartitionById(shards, F.col("shard"))
-        manifest = f"{path}/manifest"
-        try:
-            _write(parts, path, total, per_shard, length).write.mode("overwrite").parquet(manifest)
-            break
-        except Exception:
-            drop_dir(spark, path)
-            if last:
-                raise
-            rows, _ = stored(rows, "sequenced")
+
+    def keep(rows: DataFrame) -> DataFrame:
+        rows, folder = stored(rows, "sequenced", compression="zstd")
+        kept.append(folder)
+        return rows
+
+    try:
+        if codec is None:
+            data = text_of(text_col).cast("binary")
+            rows = docs.select(F.col(id_col).cast("long").alias("id"), F.octet_length(data).cast("long").alias("n"), data.alias("ids"))
+        else:
+            with shuffles_freed(spark):
+                rows = keep(codec.encode_packed(form.dtype, docs, id_col, text_col))
+        for last in (False, True):
+            counts = sorted((r[0], r[1]) for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(counted(F.col("n"), length))).collect())
+            bases, total = {}, 0
+            for p, n in counts:
+                bases[p] = (total, n)
+                total += n
+            order = Permutation(total, key)
+            shards = -(-total // per_shard)
+            if not total:
+                return spark.createDataFrame([], "shard int, file string, first_slot long, records long, crc32 long"), path, order
+            parts = _scatter(rows, bases, order, per_shard, length, form).repartitionById(shards, F.col("shard"))
+            manifest = f"{path}/manifest"
+            try:
+                _write(parts, path, total, per_shard, stride).write.mode("overwrite").parquet(manifest)
+                break
+            except Exception:
+                drop_dir(spark, path)
+                if last:
+                    raise
+                rows = keep(rows)
+    finally:
+        for folder in kept:
+            drop_dir(spark, folder)
     return spark.read.parquet(manifest), path, order
 
 
-def read_sequences(spark: SparkSession, manifest: DataFrame, path: str, length: int = LENGTH, from_slot: int = 0) -> DataFrame:
+def read_sequences(spark: SparkSession, manifest: DataFrame, path: str, length: int = LENGTH, from_slot: int = 0, codec: Codec | None = None) -> DataFrame:
     """(slot, shard, record, doc_id, sequence, n_ids, ids) from a slot on: each shard is read from there to its end, in
-    blocks, from the place that its stride gives. ids are the bytes without padding."""
-    stride = HEAD_SIZE + length
+    blocks, from the place that its stride gives. ids are the bytes of the ids without padding; codec as for materialise."""
+    width = form_of(codec).width
+    stride = HEAD_SIZE + length * width
     schema = "slot long, shard int, record long, doc_id long, sequence int, n_ids int, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -220,7 +265,7 @@ def read_sequences(spark: SparkSession, manifest: DataFrame, path: str, length:
                         yield pa.RecordBatch.from_arrays([
                             pa.array(record + m["first_slot"]), pa.array([m["shard"]] * n, pa.int32()), pa.array(record),
                             pa.array([None if h[0] == NULL_ID else h[0] for h in heads], pa.int64()), pa.array([h[1] for h in heads], pa.int32()), pa.array([h[2] for h in heads], pa.int32()),
-                            pa.array([raw[i * stride + HEAD_SIZE : i * stride + HEAD_SIZE + h[2]] for i, h in enumerate(heads)], pa.binary()),
+                            pa.array([raw[i * stride + HEAD_SIZE : i * stride + HEAD_SIZE + h[2] * width] for i, h in enumerate(heads)], pa.binary()),
                         ], [x.split()[0] for x in schema.split(", ")])
                         skip += n
 

@@ -178,6 +178,23 @@ def test_sequences_round_trip_and_resume(spark, docs, empty):
     assert order.n == 0 and sequences.read_sequences(spark, manifest, path).count() == 0
 
 
+def test_sequences_of_token_ids(spark, docs, empty):
+    codec, enc = bpe.Codec(spark, *vocabulary(), chunk=4096, overlap=256), reference_codec()
+    manifest, path, order = sequences.materialise(docs, length=64, shard_bytes=4096, codec=codec)
+    got = sequences.read_sequences(spark, manifest, path, length=64, codec=codec).collect()
+    assert sorted(r.slot for r in got) == list(range(order.n)) and manifest.count() > 3
+    parts = {}
+    for r in got:
+        assert len(r.ids) == 2 * r.n_ids
+        parts.setdefault(r.doc_id, []).append((r.sequence, bytes(r.ids)))
+    want = {i: enc.encode(t or "", disallowed_special=()) for i, t, *_ in awkward() if i not in (None, 9)}
+    assert max(map(max, filter(None, want.values()))) > 255
+    for i, ids in want.items():
+        assert np.frombuffer(b"".join(x for _, x in sorted(parts[i])), "<u2").tolist() == [*ids, enc.n_vocab]
+    manifest, path, order = sequences.materialise(empty, codec=codec)
+    assert order.n == 0 and sequences.read_sequences(spark, manifest, path, codec=codec).count() == 0
+
+
 # 5
 
 
