@@ -201,3 +201,20 @@ def test_levels_by_tables_and_in_one_task(spark, local):
     got = {r.id: (r.level, r.is_cyclic) for r in connectivity.topological_order(n, e, local).collect()}
     assert got == {"A": (0, False), "B": (1, False), "C": (2, False), "D": (3, False), "Z": (0, False), **{x: (None, True) for x in "EFGH"}}
     assert {r.id: r.component for r in connectivity.strong_components(n, e, local).collect()} == {**{x: x for x in "ABCDGHZ"}, "E": "E", "F": "E"}
+
+
+def test_consolidate_takes_the_whole_table(spark, duck):
+    e = duck.sql("select event_id, user_id, event_type, value, epoch_us(ts) from events").fetchall()
+    first, last = min(r[4] for r in e), max(r[4] for r in e)
+    start = last - (last - first) // 8
+    i = [(f"i{n}", kind, [f"u{u}", f"u{u + 1}"], v / 1000, t >= start) for n, u, kind, v, t in e if v > 100]
+    want = []
+    for key, kind, nodes, c, late in i:
+        if late:
+            near = [o for o in i if not o[4] and o[1] == kind and set(o[2]) & set(nodes)]
+            k, many = len(near) + 1, len(near) + 1 >= 5
+            value = min((c + sum(o[3] for o in near)) / k + 0.1 * (k - 5), 1) if many else c
+            want.append((f"consolidated_{key}" if many else key, kind, pytest.approx(value, abs=1e-6), ",".join(sorted({*nodes, *(x for o in near for x in o[2])}) if many else nodes)))
+    got = sorted(map(tuple, queries.QUERIES["h14_consolidate"](spark, SF).collect()))
+    assert got == sorted(want, key=lambda r: r[0]) and len(got) > 5
+    assert any(r[0].startswith("consolidated_") for r in got) and not all(r[0].startswith("consolidated_") for r in got)
