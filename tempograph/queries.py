@@ -364,8 +364,8 @@ def h10_insights(spark, d):
     return health.insights_of(_predictions(spark, d), NOW).select(F.get("related_node_ids", F.lit(0)).alias("node_id"), "type", "severity", *r6("confidence"))
 
 
-def _insights(spark, d, low: int, high: int):
-    e = table(spark, d, "events").filter(f"event_id >= {low} and event_id < {high} and value > 100")
+def _insights(spark, d):
+    e = table(spark, d, "events").filter("value > 100")
     return e.selectExpr("concat('i', event_id) as id", "event_type as type", "'t' as title", "'d' as description", "array(concat('u', user_id), concat('u', user_id + 1)) as related_node_ids", "value / 1000 as confidence", "'Warning' as severity", "ts as generated_at")
 
 
@@ -377,7 +377,7 @@ def h14_consolidate(spark, d):
     """The insights of the last eighth of the table's time against all earlier ones. The SQL knows those of 800 events only."""
     e = table(spark, d, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     start = e.agg((F.max("t") - F.expr("(max(t) - min(t)) div 8")).alias("start"))
-    i = _insights(spark, d, 0, 1 << 40).crossJoin(F.broadcast(start))
+    i = _insights(spark, d).crossJoin(F.broadcast(start))
     late = F.coalesce(F.unix_micros(F.col("generated_at").cast("timestamp")) >= F.col("start"), F.lit(False))
     out = health.consolidate(i.filter(late).drop("start"), i.filter(~late).drop("start"))
     return out.select("id", "type", *r6("confidence"), F.array_join("related_node_ids", ",").alias("nodes"))
@@ -385,7 +385,7 @@ def h14_consolidate(spark, d):
 
 @query()
 def h15_consolidate_all(spark, d):
-    return health.consolidate_all(_insights(spark, d, 0, 1 << 40)).select("id", "type", *r6("confidence"), F.size("related_node_ids").alias("n_nodes"))
+    return health.consolidate_all(_insights(spark, d)).select("id", "type", *r6("confidence"), F.size("related_node_ids").alias("n_nodes"))
 
 
 @query(cte("event_edges") + f""" select to_node_id, round(greatest(weight * pow(0.5, (epoch_us(timestamp '{NOW}') - epoch_us(valid_from)) / 1e6 / (2592000 * (1 + 0.1 * (seq % 5)))), 0.1), 6) as decayed_weight,
@@ -438,8 +438,9 @@ def s8_edge_upsert(spark, d):
 
 @query("select concat('u', user_id) as from_node_id, concat('i', event_id) as to_node_id, 'FeedsInto' as type, round(value / 1000, 6) as weight from events where value > 100 and event_id < 500 and event_type = 'error'")
 def s12_insight_edges(spark, d):
+    """Of the whole table's insights. The SQL knows those of 500 events only."""
     store = GraphStore.in_memory(spark)
-    store.insert_insights(_insights(spark, d, 0, 500))
+    store.insert_insights(_insights(spark, d))
     return pseudo_edges(store.insights("error")).select("from_node_id", "to_node_id", "type", *r6("weight"))
 
 

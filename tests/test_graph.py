@@ -218,3 +218,8 @@ def test_consolidate_takes_the_whole_table(spark, duck):
     got = sorted(map(tuple, queries.QUERIES["h14_consolidate"](spark, SF).collect()))
     assert got == sorted(want, key=lambda r: r[0]) and len(got) > 5
     assert any(r[0].startswith("consolidated_") for r in got) and not all(r[0].startswith("consolidated_") for r in got)
+
+
+def test_insight_edges_take_the_whole_table(spark, duck):
+    want = duck.sql("select concat('u', user_id) as from_node_id, concat('i', event_id) as to_node_id, 'FeedsInto' as type, round(value / 1000, 6) as weight from events where value > 100 and event_type = 'error'").df()
+    assert rows(queries.QUERIES["s12_insight_edges"](spark, SF).toPandas()) == rows(want) and len(want) > 20
