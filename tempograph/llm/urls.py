@@ -40,14 +40,35 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def link_targets(html: Column) -> Column:
-    """The absolute urls that a page's canonical links and meta refreshes name."""
+def _without_dots(path: Column) -> Column:
+    """An absolute path with its segments . and .. taken out."""
+    parts = F.split(path, "/")
+    last = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.concat(kept, F.array(x)))
+    return F.array_join(F.concat(F.aggregate(parts, F.array().cast("array<string>"), step), last), "/")
+
+
+def resolved_url(target: Column, url: Column) -> Column:
+    """A link's target as an absolute url, read from a page's url: with scheme, from // or / on, from ?, or beside the
+    page's path. Null for other schemes, for a mere fragment and, unless it is absolute, on a page without host."""
+    scheme, place = F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    path, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    beside = F.concat(F.regexp_extract(F.concat(F.lit("/"), F.substring(url_path(url), 2, 1 << 30)), r"(?s)^(.*/)", 1), path)
+    own = F.when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).when(target.startswith("?"), F.concat(place, url_path(url), target))
+    own = own.otherwise(F.concat(place, _without_dots(F.when(target.startswith("/"), path).otherwise(beside)), rest))
+    other = target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | target.startswith("#") | (target == "") | (url_host(url) == "")
+    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(~other, own)
+
+
+def link_targets(html: Column, url: Column) -> Column:
+    """The urls that a page's canonical links and meta refreshes name, resolved from the page's own url."""
     page = F.coalesce(html, F.lit(""))
     tags = F.regexp_extract_all(page, F.lit(r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), F.lit(0))
     canonical = F.transform(tags, lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    refresh = F.regexp_extract_all(page, F.lit(r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*\burl\s*=\s*['\"]?([^\"'\s>]+)"), F.lit(1))
-    found = F.filter(F.concat(canonical, refresh), lambda u: u.contains("://"))
-    return F.when(page.contains("://") & page.rlike(r"(?i)canonical|refresh"), found).otherwise(F.array().cast("array<string>"))
+    tags = F.regexp_extract_all(page, F.lit(r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0))
+    refresh = F.transform(tags, lambda t: F.regexp_extract(t, r"(?i)\bcontent\s*=[^>]*?\burl\s*=\s*['\"]?([^\"'\s>]+)", 1))
+    found = F.transform(F.concat(canonical, refresh), lambda t: resolved_url(t, F.coalesce(url, F.lit(""))))
+    return F.when(page.rlike(r"(?i)canonical|refresh"), F.filter(found, lambda u: u.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", redirects: DataFrame | None = None, rules=RULES) -> DataFrame:
@@ -64,7 +85,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     base = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), url_host(url).alias("host"), url_path(url).alias("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     judged = base.withColumns({"rule": rule, "own": verdict, "alias": alias_key(F.col("url"))})
-    links = pages.select(url.alias("src"), F.explode(link_targets(html)).alias("dst"))
+    links = pages.select(url.alias("src"), F.explode(link_targets(html, url)).alias("dst"))
     if redirects is not None:
         links = links.unionAll(redirects.select(F.col("src").cast("string"), F.col("dst").cast("string")))
     links, _ = stored(links.select("src", "dst", alias_key(F.col("src")).alias("a"), alias_key(F.col("dst")).alias("b")).filter("a is not null and b is not null").distinct(), "links")

@@ -136,6 +136,22 @@ def test_urls(spark):
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_relative_links_join_pages(spark):
+    from urllib.parse import urljoin
+
+    canonical = lambda u: f'<link rel="canonical" href="{u}">'
+    rows = [
+        (1, "http://example.com/x/a", canonical("/de/x")), (2, "http://q.com/b", canonical("//bad.net/x")), (3, "http://example.com/c/d", '<meta http-equiv="refresh" content="0; url=../de/new">'),
+        (4, "http://r.com/e", '<meta content="0; url=//bad.net/y" http-equiv="refresh">'), (5, "http://s.com/f", canonical("mailto:a@bad.net")), (6, "http://example.com/x/g?p=1", canonical("/x/a")), (7, "no host", canonical("/de/x")),
+    ]
+    got = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "block", 7: "allow"}
+    bases, targets = ["http://a.com/b/c/d?q#f", "https://a.com", "http://a.com/", "http://a.com?q=/z/"], ["g", "./g", "../g", "../../../g", "/g/./h/../i", "//h.org/x", "g?y=http://z/", "/u?to=http://z/", "..", ".", "http://o.net/p", "g/"]
+    pairs = spark.createDataFrame([(b, t) for b in bases for t in targets], "b string, t string")
+    for b, t, u in pairs.select("b", "t", urls.resolved_url(pairs.t, pairs.b)).collect():
+        assert u == urljoin(b, t), (b, t)
+
+
 def test_components_match_union_find(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5), (None, 3)]
