@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,55 +19,40 @@ def out_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(n, "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = D.PAGERANK[0], tolerance: float | None = D.PAGERANK[1], max_iterations: int = D.PAGERANK[2], cut_every: int = 5, local: int = D.LOCAL_EDGES) -> DataFrame:
-    """(id, rank) by synchronous steps until no rank changes by more than the tolerance. Ranks of nodes without out-edges
-    aren't handed out again. Edges to unknown nodes count for the out-degree; those from unknown nodes give nothing.
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = D.PAGERANK[0], tolerance: float | None = D.PAGERANK[1], max_iterations: int = D.PAGERANK[2], cut_every: int = 5) -> DataFrame:
+    """(id, rank) by synchronous steps until no rank changes by more than the tolerance, which is asked for every
+    `cut_every` steps. Ranks of nodes without out-edges aren't handed out again. Edges to unknown nodes count for the
+    out-degree; those from unknown nodes give nothing.
 
-    The graph is written once, with each edge's share. Up to `local` nodes and shares, both counted, take their steps in
-    one task; above it a step is one join on the source and one sum by target, combined before its shuffle.
+    Nodes and each edge's share are kept dealt by the key that steps join them on, so a step moves ranks alone: one join on
+    the source and one sum by target, combined before its shuffle. The ranks are written every `cut_every` steps.
     """
-    rounds = Rounds(nodes.sparkSession, "pagerank")
-    base = rounds.cut(nodes.select("id").distinct())
-    n = base.count()
+    spark = nodes.sparkSession
+    rounds, parts = Rounds(spark, "pagerank"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base, n = rounds.counted(nodes.select("id").distinct())
     if not n:
         return base.withColumn("rank", F.lit(0.0))
     degree = edges.groupBy(F.col("from_node_id").alias("src")).agg(F.count("*").alias("degree"))
     shares = edges.select(F.col("from_node_id").alias("src"), F.col("to_node_id").alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("k")).join(degree, "src")
     shares = rounds.cut(shares.select("src", "dst", (F.col("k") / F.col("degree")).alias("share")))
-    if n <= local and shares.count() <= local:
-        rows = base.select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("share")).unionByName(shares).withColumn("g", F.lit(1))
-
-        def solve(rows: pd.DataFrame) -> pd.DataFrame:
-            return _ranked(rows, damping, tolerance, max_iterations, cut_every)
-
-        return rows.groupBy("g").applyInPandas(solve, "id string, rank double")
-    ranks = base.withColumn("rank", F.lit(1.0 / n))
+    dealt, ids = shares.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK), base.repartition(parts, "id").persist(StorageLevel.MEMORY_AND_DISK)
+    ranks, kept = ids.withColumn("rank", F.lit(1.0 / n)), None
     for i in range(max_iterations):
-        got = shares.join(ranks, shares["src"] == ranks["id"]).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = base.join(got, base["id"] == got["to"], "left").select("id", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        got = dealt.join(ranks, dealt["src"] == ranks["id"]).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        new = ids.join(got, ids["id"] == got["to"], "left").select("id", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if (i + 1) % cut_every == 0 or i + 1 == max_iterations:
             new = rounds.cut(new)
             # The step before is computed once more, from the last cut, only where the change is asked for.
-            if tolerance is not None and new.join(ranks.withColumnRenamed("rank", "was"), "id").agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0] < tolerance:
-                return new
+            still = tolerance is not None and new.join(ranks.withColumnRenamed("rank", "was"), "id").agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0] < tolerance
+            rounds.drop(*([kept] if kept is not None else []))
+            kept = new
+            if still:
+                break
         ranks = new
-    return ranks
-
-
-def _ranked(rows: pd.DataFrame, damping: float, tolerance: float | None, max_iterations: int, cut_every: int) -> pd.DataFrame:
-    """The ranks of one task: rows without dst are the nodes, the others shares."""
-    is_node = rows["dst"].isna()
-    ids = pd.Index(rows["src"][is_node])
-    src, dst = ids.get_indexer(rows["src"][~is_node]), ids.get_indexer(rows["dst"][~is_node])
-    there = (src >= 0) & (dst >= 0)
-    src, dst, share = src[there], dst[there], rows["share"][~is_node].to_numpy()[there]
-    rank = np.full(len(ids), 1.0 / len(ids))
-    for i in range(max_iterations):
-        new = (1 - damping) / len(ids) + damping * np.bincount(dst, rank[src] * share, len(ids))
-        change, rank = np.abs(new - rank).max(), new
-        if tolerance is not None and (i + 1) % cut_every == 0 and change < tolerance:
-            break
-    return pd.DataFrame({"id": ids, "rank": rank})
+    dealt.unpersist()
+    ids.unpersist()
+    rounds.drop(shares, base)
+    return new
 
 
 class _Packed:
@@ -143,48 +129,61 @@ def _sums(g: _Packed, state: dict) -> pd.DataFrame:
     return pd.DataFrame({"id": list(state), "sum": list(state.values())}).astype({"id": object, "sum": "int64"})
 
 
-def _packed_edges(nodes: DataFrame, edges: DataFrame, rounds: Rounds) -> DataFrame:
-    """(src, dst, k) of edges between nodes that exist, k parallel ones."""
-    return rounds.cut(known_edges(nodes, edges).groupBy("src", "dst").agg(F.count("*").cast("double").alias("k")))
+def _packed_edges(nodes: DataFrame, edges: DataFrame, rounds: Rounds) -> tuple[DataFrame, int]:
+    """(src, dst, k) of edges between nodes that exist, k parallel ones, and how many rows that are."""
+    return rounds.counted(known_edges(nodes, edges).groupBy("src", "dst").agg(F.count("*").cast("double").alias("k")))
+
+
+def _batches(chosen: DataFrame, n_nodes: int, rounds: Rounds) -> list[DataFrame]:
+    """The sources in parts of so few that a search reaches at most about SEARCH_ROWS pairs of source and node."""
+    chosen, n = rounds.counted(chosen)
+    parts = max(1, -(-n * n_nodes // D.SEARCH_ROWS))
+    return [chosen.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == i) for i in range(parts)]
 
 
 def _reach(e: DataFrame, sources: DataFrame, rounds: Rounds) -> list[DataFrame]:
     """Levels of (source, id, paths): nodes at each distance from each source and the number of shortest paths to them."""
-    level = rounds.cut(sources.select(F.col("id").alias("source"), "id", F.lit(1.0).alias("paths")))
+    level, n = rounds.counted(sources.select(F.col("id").alias("source"), "id", F.lit(1.0).alias("paths")))
     levels, visited = [level], level.select("source", "id")
-    while True:
+    while n:
         step = level.join(e, level["id"] == e["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.sum(F.col("paths") * F.col("k")).alias("paths"))
-        level = rounds.cut(step.join(visited, ["source", "id"], "left_anti"))
-        if level.isEmpty():
-            return levels
-        levels.append(level)
-        visited = visited.unionAll(level.select("source", "id"))
+        level, n = rounds.counted(step.join(visited, ["source", "id"], "left_anti"))
+        if n:
+            levels.append(level)
+            visited = visited.unionAll(level.select("source", "id"))
+    return levels
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, local: int = D.LOCAL_EDGES) -> DataFrame:
-    """(id, score) of all nodes: shortest paths through each (Brandes), directed, not normalised, ends excluded, parallel
-    edges as several paths. Graphs of at most `local` counted edges are handed to tasks that share out the sources; in larger
-    ones all sources, or those given, are searched at once, keyed by source."""
-    rounds = Rounds(nodes.sparkSession, "between")
-    ids = nodes.select("id").distinct()
-    chosen = ids if sources is None else ids.join(sources.select("id"), "id", "left_semi")
-    e = _packed_edges(nodes, edges, rounds)
-    if e.count() <= local:
-        score = _searched(e, chosen, _count_paths, _scores, "id string, score double").groupBy("id").agg(F.sum("score").alias("score"))
-        return ids.join(score, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    levels = _reach(e, chosen, rounds)
+def _gained(e: DataFrame, sources: DataFrame, rounds: Rounds) -> DataFrame:
+    """(id, score): what paths from the sources give each node, summed from the last level back."""
+    levels = _reach(e, sources, rounds)
     below = levels[-1].withColumn("delta", F.lit(0.0))
-    parts = [below]
+    sums = below.filter("id <> source").groupBy("id").agg(F.sum("delta").alias("score"))
     for level in reversed(levels[:-1]):
         b = below.select("source", F.col("id").alias("dst"), F.col("paths").alias("p"), F.col("delta").alias("d"))
         via = level.join(e, level["id"] == e["src"]).join(b, ["source", "dst"])
         got = via.groupBy("source", "id").agg(F.sum(F.col("paths") * F.col("k") / F.col("p") * (1 + F.col("d"))).alias("delta"))
         below = rounds.cut(level.join(got, ["source", "id"], "left").select("source", "id", "paths", F.coalesce("delta", F.lit(0.0)).alias("delta")))
-        parts.append(below)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    score = every.filter("id <> source").groupBy("id").agg(F.sum("delta").alias("score"))
+        sums = sums.unionAll(below.filter("id <> source").groupBy("id").agg(F.sum("delta").alias("score")))
+    return rounds.cut(sums.groupBy("id").agg(F.sum("score").alias("score")), *levels)
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, local: int = D.LOCAL_EDGES) -> DataFrame:
+    """(id, score) of all nodes: shortest paths through each (Brandes), directed, not normalised, ends excluded, parallel
+    edges as several paths. Graphs of at most `local` counted edges are handed to tasks that share out the sources; in
+    larger ones the sources are searched by joins, keyed by source, as many at once as SEARCH_ROWS lets be."""
+    rounds = Rounds(nodes.sparkSession, "between")
+    ids, n_nodes = rounds.counted(nodes.select("id").distinct())
+    chosen = ids if sources is None else ids.join(sources.select("id").distinct(), "id", "left_semi")
+    e, n = _packed_edges(nodes, edges, rounds)
+    if n <= local:
+        every = _searched(e, chosen, _count_paths, _scores, "id string, score double")
+    else:
+        every = None
+        for part in _batches(chosen, n_nodes, rounds):
+            got = _gained(e, part, rounds)
+            every = got if every is None else every.unionAll(got)
+    score = every.groupBy("id").agg(F.sum("score").alias("score"))
     return ids.join(score, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -192,18 +191,21 @@ def closeness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = No
     """(id, score) of the sources: (nodes - 1) over the sum of distances to what they reach; 0 if nothing, 1 in a graph of
     one node."""
     rounds = Rounds(nodes.sparkSession, "close")
-    ids = nodes.select("id").distinct()
-    n = ids.count()
-    chosen = ids if sources is None else ids.join(sources.select("id"), "id", "left_semi")
-    e = _packed_edges(nodes, edges, rounds)
-    if e.count() <= local:
+    ids, n = rounds.counted(nodes.select("id").distinct())
+    chosen = ids if sources is None else ids.join(sources.select("id").distinct(), "id", "left_semi")
+    e, n_edges = _packed_edges(nodes, edges, rounds)
+    if n_edges <= local:
         total = _searched(e, chosen, _sum_distances, _sums, "id string, sum long")
     else:
         total = None
-        for d, level in enumerate(_reach(e, chosen, rounds)):
-            part = level.groupBy(F.col("source").alias("id")).agg((F.count("*") * d).alias("sum"))
-            total = part if total is None else total.unionAll(part)
-        total = total.groupBy("id").agg(F.sum("sum").alias("sum"))
+        for part in _batches(chosen, n, rounds):
+            levels = _reach(e, part, rounds)
+            own = None
+            for d, level in enumerate(levels):
+                one = level.groupBy(F.col("source").alias("id")).agg((F.count("*") * d).alias("sum"))
+                own = one if own is None else own.unionAll(one)
+            own = rounds.cut(own.groupBy("id").agg(F.sum("sum").alias("sum")), *levels)
+            total = own if total is None else total.unionAll(own)
     score = F.lit(1.0) if n == 1 else F.when(F.col("sum") > 0, (n - 1) / F.col("sum")).otherwise(0.0)
     return chosen.join(total, "id", "left").select("id", score.alias("score"))
 

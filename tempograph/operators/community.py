@@ -23,16 +23,16 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
 def clusters(nodes: DataFrame, edges: DataFrame, mode: str = "reference", passes: int = D.CLUSTER_PASSES, least_gain: float = D.CLUSTER_GAIN) -> DataFrame:
     """(id, community): communities are numbered by their least id.
 
-    mode "reference": the gain used there never exceeds 0 from singletons without self-loops, so every node stays alone;
-    graphs with self-loops are refused in this mode. mode "modularity": synchronous local moves to the community of
+    mode "reference": a node's gain is the same for every target: the weight of its own edges into its community, over 2m,
+    less its out-weight times its community's, over 4m²; if it is above 0, the node goes to the community of the first of
+    its out-edges (by seq) that leads to another. From singletons only a self-loop makes such a gain, so nodes of graphs
+    without loops stay alone. All nodes of a pass move at once. mode "modularity": synchronous local moves to the community of
     greatest gain, the least of equal ones, half of the nodes after the other, halved anew each pass; passes stop when none moves or, after the
     first two, modularity gains less than least_gain.
     """
     ids = nodes.select("id").distinct()
     if mode == "reference":
-        if not edges.filter("from_node_id = to_node_id").isEmpty():
-            raise ValueError('mode "reference" is defined for graphs without self-loops; use mode "modularity"')
-        return ids.withColumn("community", F.col("id"))
+        return _reference_clusters(ids, edges, passes, least_gain)
     rounds = Rounds(nodes.sparkSession, "communities")
     known = edges.join(ids.withColumnRenamed("id", "from_node_id"), "from_node_id", "left_semi").join(ids.withColumnRenamed("id", "to_node_id"), "to_node_id", "left_semi")
     e = known.filter("from_node_id <> to_node_id").select(F.col("from_node_id").alias("a"), F.col("to_node_id").alias("b"), "weight")
@@ -68,6 +68,33 @@ def clusters(nodes: DataFrame, edges: DataFrame, mode: str = "reference", passes
     return now.join(names, "community").select("id", F.col("name").alias("community"))
 
 
+def _reference_clusters(ids: DataFrame, edges: DataFrame, passes: int, least_gain: float) -> DataFrame:
+    now = ids.withColumn("community", F.col("id"))
+    if edges.filter("from_node_id = to_node_id").isEmpty():
+        return now
+    rounds = Rounds(ids.sparkSession, "reference")
+    e = edges.select(F.col("from_node_id").alias("src"), F.col("to_node_id").alias("dst"), "weight", "seq")
+    now, e = rounds.cut(now), rounds.cut(e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi"))
+    m2 = 2.0 * (edges.agg(F.sum("weight")).first()[0] or 0.0)
+    last_q = modularity(edges, now).first()[0]
+    for _ in range(passes if m2 else 0):
+        ends = e.join(now.select(F.col("id").alias("src"), F.col("community").alias("own")), "src").join(now.select(F.col("id").alias("dst"), F.col("community").alias("to")), "dst", "left")
+        away = F.when(F.col("to") != F.col("own"), F.struct("seq", "dst", "to"))
+        of_node = ends.groupBy("src", "own").agg(F.sum("weight").alias("k"), F.coalesce(F.sum(F.when(F.col("to") == F.col("own"), F.col("weight"))), F.lit(0.0)).alias("into"), F.min(away).alias("first"))
+        total = of_node.groupBy("own").agg(F.sum("k").alias("tot"))
+        gain = F.col("into") / m2 - F.col("tot") * F.col("k") / (m2 * m2)
+        moves, n = rounds.counted(of_node.join(total, "own").filter((gain > 0) & F.col("first").isNotNull()).select(F.col("src").alias("id"), F.col("first.to").alias("new")))
+        if not n:
+            break
+        now = rounds.cut(now.join(moves, "id", "left").select("id", F.coalesce("new", "community").alias("community")), now, moves)
+        q = modularity(edges, now).first()[0]
+        if q - last_q < least_gain:
+            break
+        last_q = q
+    names = now.groupBy("community").agg(F.min("id").alias("name"))
+    return now.join(names, "community").select("id", F.col("name").alias("community"))
+
+
 def cluster_table(membership: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, node_ids, size, modularity): one row for each community; modularity is the whole partition's."""
     q = modularity(edges, membership).first()[0]

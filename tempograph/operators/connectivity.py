@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import defaults as D
-from ..plans.loop import Rounds, drop_dir, stored
+from ..plans.loop import Rounds, drop_dir, stored_seen
 
 
 def _starred(pairs: DataFrame, large: bool) -> DataFrame:
@@ -29,16 +29,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n
     """
     spark = edges.sparkSession
     pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).distinct()
-    now, path = stored(pairs, name)
-    print_of = lambda t: t.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-    seen = print_of(now)
-    while seen[0]:
+    prints = {"n": F.count("*"), "x": F.expr("bit_xor(xxhash64(u, v))")}
+    now, path, seen = stored_seen(pairs, name, **prints)
+    while seen["n"]:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _starred(both, True).distinct()
         small = _starred(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False).distinct()
-        then, new_path = stored(small, name)
+        was = seen
+        then, new_path, seen = stored_seen(small, name, **prints)
         drop_dir(spark, path)
-        was, now, path, seen = seen, then, new_path, print_of(then)
+        now, path = then, new_path
         if was == seen:
             break
     ends = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -62,55 +62,97 @@ def known_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def _one_task(e: DataFrame, solve, schema: str) -> DataFrame:
     """Edges that are counted and few, solved in one task: their depth then costs no jobs. Nodes without edges stay out, as
     nobody counted them."""
-    return e.select("src", "dst", F.lit(1).alias("g")).groupBy("g").applyInPandas(solve, schema)
+    return e.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(lambda rows: solve(rows.drop(columns="g")), schema)
+
+
+def _hung(e: DataFrame, at: DataFrame, rounds: Rounds) -> DataFrame | None:
+    """(id, head, d, c) of the nodes with one edge in: their level is the greater of c and their head's level and d. A head
+    has no edge in, or several. Pointers are doubled, so a chain of n nodes takes log n steps; nodes that come to no head
+    (they lie on a ring of such nodes or after one) are left out. None if there are no such nodes."""
+    one = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.first("src").alias("p"), F.first("w").alias("d")).filter("n = 1")
+    now, n = rounds.counted(one.join(at, "id", "left").select("id", "p", "d", F.col("at").alias("c"), F.lit(False).alias("done")))
+    if not n:
+        return None
+    for _ in range(n.bit_length() + 1):
+        up = now.select(F.col("id").alias("p"), F.col("p").alias("pp"), F.col("d").alias("pd"), F.col("c").alias("pc"))
+        j = now.join(up, "p", "left")
+        then = j.select("id", F.coalesce("pp", "p").alias("p"), (F.col("d") + F.coalesce("pd", F.lit(0))).alias("d"), F.greatest("c", F.col("pc") + F.col("d")).alias("c"), F.col("pp").isNull().alias("done"))
+        now, open_rows = rounds.counted_where(then, ~F.col("done"), now)
+        if not open_rows:
+            break
+    return now.filter("done").select("id", F.col("p").alias("head"), "d", "c")
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame, local_edges: int = D.LOCAL_EDGES) -> DataFrame:
     """(id, level, is_cyclic): level is the longest path to a node from one without predecessors; nodes on a cycle or after
     one have none and are cyclic. Ordered by (level, id), the others are a topological order.
 
-    Level by level, the targets of the edges left are what lies deeper, and the edges that start there are what is left: one
-    table a level, each smaller. As soon as few edges are left, one task peels them.
+    Rounds of joins on edges (src, dst, w), w being the steps that an edge stands for. First all nodes with one edge in are
+    hung on the node above them that has none or several, and their edges out start there: chains and trees of any depth
+    go in a number of steps that grows with its logarithm. Then nodes without edge in get their level and go. Every round
+    leaves fewer edges; as soon as few are left, one task peels them, so that depth costs no more jobs. What no round
+    changes is on cycles or after them.
     """
-    e, path = stored(known_edges(nodes, edges), "topo")
-    rounds, n, was = Rounds(nodes.sparkSession, "topo"), e.count(), -1
-    levels = nodes.select("id", F.lit(0).alias("level"))
-    depth = 0
+    rounds = Rounds(nodes.sparkSession, "topo")
+    e, n = rounds.counted(known_edges(nodes, edges).distinct().withColumn("w", F.lit(1)))
+    at = rounds.cut(e.limit(0).select(F.col("src").alias("id"), F.col("w").alias("at")))
+    hung: list[DataFrame] = []
+    was = -1
+    best = lambda t: t.groupBy("id").agg(F.max("at").alias("at"))
     while n > local_edges and n != was:
-        depth += 1
-        deeper = e.select(F.col("dst").alias("id")).distinct()
-        levels = levels.unionAll(deeper.select("id", F.lit(depth).alias("level")))
-        e, was = rounds.cut(e.join(deeper.withColumnRenamed("id", "src"), "src", "left_semi")), n
-        n = e.count()
-    levels = levels.groupBy("id").agg(F.max("level").alias("level"))
-    if n > local_edges:  # all that is left is on cycles or after them
-        cyclic = F.col("level") == depth
-        return levels.select("id", F.when(~cyclic, F.col("level")).alias("level"), cyclic.alias("is_cyclic"))
-    rest = _one_task(e, _peel, "id string, more int, is_cyclic boolean")
+        was = n
+        found = _hung(e, at, rounds)
+        if found is not None:
+            found = rounds.cut(found)
+            hung.append(found)
+            kept = e.join(found.select(F.col("id").alias("dst")), "dst", "left_anti")
+            moved = kept.join(found.select(F.col("id").alias("src"), "head", "d", "c"), "src", "left")
+            moved = rounds.cut(moved.select(F.coalesce("head", "src").alias("src"), "dst", (F.col("w") + F.coalesce("d", F.lit(0))).alias("w"), (F.col("c") + F.col("w")).alias("at")))
+            at = rounds.cut(best(at.unionAll(moved.filter("at is not null").select(F.col("dst").alias("id"), "at"))), at)
+            e, n = rounds.counted(moved.groupBy("src", "dst").agg(F.max("w").alias("w")), e, moved)
+        if n:
+            deeper = e.select(F.col("dst").alias("src")).distinct()
+            ready = e.join(deeper, "src", "left_anti").join(at.withColumnRenamed("id", "src"), "src", "left").select(F.col("dst").alias("id"), (F.col("w") + F.coalesce("at", F.lit(0))).alias("at"))
+            then = rounds.cut(best(at.unionAll(ready)))
+            e, n = rounds.counted(e.join(deeper, "src", "left_semi"), e)
+            at = rounds.cut(then, at, then)
+    if n and n <= local_edges:
+        rows = e.unionAll(at.select("id", F.lit(None).cast("string"), "at"))
+        rest = rounds.cut(_one_task(rows, _peel, "id string, at int, is_cyclic boolean"))
+    else:  # all that is left is on cycles or after them
+        rest = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().select("id", F.lit(None).cast("int").alias("at"), F.lit(True).alias("is_cyclic"))
+    later = at.join(rest.select("id"), "id", "left_anti").select("id", "at", F.lit(False).alias("is_cyclic")).unionAll(rest)
+    for h in reversed(hung):
+        up = later.select(F.col("id").alias("head"), F.col("at").alias("up"), "is_cyclic")
+        own = h.join(up, "head", "left").select("id", F.greatest("c", F.coalesce("up", F.lit(0)) + F.col("d")).alias("at"), F.coalesce("is_cyclic", F.lit(False)).alias("is_cyclic"))
+        later = rounds.cut(later.join(h.select("id"), "id", "left_anti").unionAll(own))
     cyclic = F.coalesce("is_cyclic", F.lit(False))
-    level = F.when(~cyclic, F.col("level") + F.coalesce("more", F.lit(0)))
-    return levels.join(rest, "id", "left").select("id", level.alias("level"), cyclic.alias("is_cyclic"))
+    return nodes.select("id").distinct().join(later, "id", "left").select("id", F.when(~cyclic, F.coalesce("at", F.lit(0))).alias("level"), cyclic.alias("is_cyclic"))
 
 
 def _peel(rows: pd.DataFrame) -> pd.DataFrame:
-    codes, ids = pd.factorize(pd.concat([rows["src"], rows["dst"]]))
-    out: list[list[int]] = [[] for _ in ids]
+    """Levels of one task: rows without dst tell what level a node has at least."""
+    is_edge = rows["dst"].notna()
+    e, least = rows[is_edge], rows[~is_edge]
+    codes, ids = pd.factorize(pd.concat([e["src"], e["dst"]]))
+    out: list[list[tuple[int, int]]] = [[] for _ in ids]
     degree = [0] * len(ids)
-    for a, b in zip(codes[: len(rows)].tolist(), codes[len(rows) :].tolist(), strict=True):
-        out[a].append(b)
+    for a, b, w in zip(codes[: len(e)].tolist(), codes[len(e) :].tolist(), e["w"].tolist(), strict=True):
+        out[a].append((b, w))
         degree[b] += 1
-    level: list[int | None] = [None] * len(ids)
-    now, depth = [i for i, d in enumerate(degree) if not d], 0
+    known = dict(zip(least["src"], least["w"], strict=True))
+    level = [int(known.get(i, 0)) for i in ids]
+    now, done = [i for i, d in enumerate(degree) if not d], 0
     while now:
-        then = []
-        for a in now:
-            level[a] = depth
-            for b in out[a]:
-                degree[b] -= 1
-                if not degree[b]:
-                    then.append(b)
-        now, depth = then, depth + 1
-    return pd.DataFrame({"id": ids, "more": pd.array(level, dtype="Int32"), "is_cyclic": [x is None for x in level]})
+        a = now.pop()
+        done += 1
+        for b, w in out[a]:
+            level[b] = max(level[b], level[a] + w)
+            degree[b] -= 1
+            if not degree[b]:
+                now.append(b)
+    cyclic = [d > 0 for d in degree]
+    return pd.DataFrame({"id": ids, "at": pd.array([None if c else x for x, c in zip(level, cyclic, strict=True)], dtype="Int32"), "is_cyclic": cyclic})
 
 
 def has_cycles(nodes: DataFrame, edges: DataFrame, local_edges: int = D.LOCAL_EDGES) -> DataFrame:
@@ -125,39 +167,41 @@ def strong_components(nodes: DataFrame, edges: DataFrame, local_edges: int = D.L
     each other takes the least id that reaches it as its colour; what reaches a colour's own node within the colour is a
     component; and so on with the rest.
     """
-    e, path = stored(known_edges(nodes, edges).filter("src <> dst").distinct(), "scc")
-    if e.count() <= local_edges:
+    rounds = Rounds(nodes.sparkSession, "scc")
+    e, n = rounds.counted(known_edges(nodes, edges).filter("src <> dst").distinct())
+    if n <= local_edges:
         found = _one_task(e, _strong, "id string, component string")
         return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    rounds = Rounds(nodes.sparkSession, "scc")
     done = rounds.cut(nodes.select("id").distinct().limit(0).withColumn("component", F.col("id")))
-    left = rounds.cut(nodes.select("id").distinct())
-    while not left.isEmpty():
-        both = rounds.cut(e.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    left, n_left = rounds.counted(nodes.select("id").distinct())
+    while n_left:
+        both = rounds.cut(e.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi"), e)
+        e = both
         inner = left.join(both.select(F.col("src").alias("id")).distinct(), "id", "left_semi").join(both.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
-        single = rounds.cut(left.join(inner, "id", "left_anti"))
-        if not single.isEmpty():
+        single, n_single = rounds.counted(left.join(inner, "id", "left_anti"))
+        if n_single:
             done = done.unionAll(single.select("id", F.col("id").alias("component")))
-            left = rounds.cut(left.join(single, "id", "left_anti"))
+            left, n_left = rounds.counted(left.join(single, "id", "left_anti"), left)
             continue
+        rounds.drop(single)
         colour = rounds.cut(left.select("id", F.col("id").alias("c")))
-        while True:
+        moved = True
+        while moved:
             into = both.join(colour, both["src"] == colour["id"]).groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("least"))
-            then = rounds.cut(colour.join(into, "id", "left").select("id", F.least("c", "least").alias("c"), (F.col("least") < F.col("c")).alias("moved")))
-            moved = not then.filter("moved").isEmpty()
-            colour = then.select("id", "c")
-            if not moved:
-                break
+            then = colour.join(into, "id", "left").select("id", F.least("c", "least").alias("c"), (F.col("least") < F.col("c")).alias("moved"))
+            then, moved = rounds.counted_where(then, F.coalesce("moved", F.lit(False)), colour)
+            colour = then
         same = both.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").filter("cs = cd").select("src", "dst")
         same = rounds.cut(same)
-        new = found = rounds.cut(colour.filter("id = c"))
-        while not new.isEmpty():
+        new, n_new = rounds.counted(colour.filter("id = c").select("id", "c"))
+        found = new
+        while n_new:
             back = same.join(new.select(F.col("id").alias("dst"), "c"), "dst").select(F.col("src").alias("id"), "c").distinct()
-            new = rounds.cut(back.join(found, "id", "left_anti"))
+            new, n_new = rounds.counted(back.join(found, "id", "left_anti").select("id", "c"))
             found = found.unionAll(new)
-        found = rounds.cut(found)
+        found = rounds.cut(found, colour, same)
         done = done.unionAll(found.select("id", F.col("c").alias("component")))
-        left = rounds.cut(left.join(found, "id", "left_anti"))
+        left, n_left = rounds.counted(left.join(found, "id", "left_anti"), left)
     return done
 
 

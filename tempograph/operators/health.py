@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import defaults as D
 from ..functions import scores as S
 from ..functions.temporal import instant, seconds_between
+from ..plans.loop import Rounds
 
 
 def weak_out_edges(edges: DataFrame, limit: float = D.WEAK_WEIGHT) -> DataFrame:
@@ -43,6 +43,17 @@ def health_vectors(metrics: DataFrame, edges: DataFrame | None = None, nodes: Da
     return out.withColumn("retry_budget", F.lit(D.RETRY_BUDGET)).withColumn("health_score", S.health_score(F.col("failure_prob"), F.col("predicted_latency_ms"), F.col("resource_strain"), weights))
 
 
+def snapshot_vectors(metrics: DataFrame, weights: tuple[float, float, float] = D.HEALTH_WEIGHTS) -> DataFrame:
+    """health_vectors of each entry by itself, with its ts: nothing is shuffled, as the percentiles and the forecast of
+    one entry are its own latency."""
+    value = lambda k: F.coalesce(F.col("values")[k], F.lit(0.0))
+    failed, latency, zero = F.when(value("ItemsFailed") > 0, 1.0).otherwise(0.0), value("AvgLatencyMs"), F.lit(0.0)
+    return metrics.select(
+        "node_id", "ts", failed.alias("failure_prob"), *(latency.alias(c) for c in ("p50", "p95", "p99", "predicted_latency_ms")), value("SmoothThroughput").alias("smooth_throughput"),
+        zero.alias("resource_strain"), F.lit(D.RETRY_BUDGET).alias("retry_budget"), S.health_score(failed, latency, zero, weights).alias("health_score"),
+    )
+
+
 def predict_bottlenecks(current: DataFrame, history: DataFrame, latency_limit: float = D.BOTTLENECK_LATENCY_MS, health_limit: float = D.BOTTLENECK_HEALTH) -> DataFrame:
     """current and history: (node_id, ts, health_score, predicted_latency_ms, failure_prob). For each current row, against
     the node's latest earlier one: is_bottleneck, health_delta, latency_delta, confidence, time_to_impact_ms. Rows without
@@ -107,25 +118,29 @@ def consolidate(new: DataFrame, existing: DataFrame, least: int = D.CONSOLIDATE_
 
 def group_greedily(insights: DataFrame) -> DataFrame:
     """(id, type, leader): in the order of (generated_at, id), an insight joins the first group whose first member shares a
-    node with it, else leads its own. The order matters, so a type is one task."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["generated_at", "id"])
-        leaders: dict[str, int] = {}
-        rank: list[str] = []
-        out = []
-        for i, nodes in zip(rows["id"], rows["related_node_ids"], strict=True):
-            hits = [leaders[n] for n in nodes if n in leaders]
-            if hits:
-                out.append(rank[min(hits)])
-                continue
-            for n in nodes:
-                leaders.setdefault(n, len(rank))
-            rank.append(i)
-            out.append(i)
-        return pd.DataFrame({"id": rows["id"], "type": rows["type"], "leader": out})
-
-    return insights.select("id", "type", "related_node_ids", "generated_at").groupBy("type").applyInPandas(run, "id string, type string, leader string")
+    node with it, else leads its own. Ids are unique.
+
+    The leaders are the first maximal independent set in that order, of insights that share a node of a type. Each round
+    takes all insights that come first on all of their nodes as leaders, and out of the search what shares a node with
+    one; so an insight waits only for those before it that share its nodes, and no type or component is one task.
+    """
+    rounds = Rounds(insights.sparkSession, "greedy")
+    nodes = F.array_compact(F.array_distinct(F.coalesce("related_node_ids", F.array().cast("array<string>"))))
+    every = rounds.cut(insights.select("id", "type", F.struct("generated_at", "id").alias("rank"), nodes.alias("nodes")))
+    spread = lambda t: t.select("type", F.explode("nodes").alias("node"), "rank", "id")
+    live, led = every.filter(F.size("nodes") > 0), None
+    while not live.isEmpty():
+        on = spread(live)
+        first = on.groupBy("type", "node").agg(F.min("rank").alias("first"))
+        leads = on.join(first, ["type", "node"]).groupBy("id").agg(F.bool_and(F.col("rank") == F.col("first")).alias("leads")).filter("leads")
+        new = rounds.cut(on.join(leads.select("id"), "id", "left_semi").select("type", "node", F.col("rank").alias("leader")))
+        met = on.join(new, ["type", "node"], "left_semi").select("id").distinct()
+        live = rounds.cut(live.join(met, "id", "left_anti"), live)
+        led = new if led is None else led.unionAll(new)
+    if led is None:
+        return every.select("id", "type", F.col("id").alias("leader"))
+    found = spread(every).join(led, ["type", "node"]).groupBy("id").agg(F.min("leader").alias("leader"))
+    return every.join(found, "id", "left").select("id", "type", F.coalesce("leader.id", "id").alias("leader"))
 
 
 def consolidate_all(insights: DataFrame, least: int = D.CONSOLIDATE_FROM) -> DataFrame:

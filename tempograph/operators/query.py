@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import defaults as D
+from ..diagnostics import EngineMetrics
 from ..functions.filters import OPERATORS, Both, Either, PropertyFilter
 from ..functions.temporal import as_of, between
 from ..schema import EDGE_TYPES
@@ -53,6 +54,9 @@ class GraphQuery:
     predicate: Column | None = None
     min_weight: float | None = None
     min_confidence: float | None = None
+    insight_table: DataFrame | None = None
+    insight_type: str | None = None
+    metrics: EngineMetrics | None = None
 
     def nodes(self, node_type: str) -> GraphQuery:
         return replace(self, node_type=_given("node type", node_type))
@@ -115,7 +119,10 @@ class GraphQuery:
 
     @property
     def kind(self) -> str:
-        return "FindPath" if self.start and self.target else "Traverse" if self.start else "FindNodes"
+        return "FindInsights" if self.insight_type else "FindPath" if self.start and self.target else "Traverse" if self.start else "FindNodes"
+
+    def insights(self, insight_type: str) -> GraphQuery:
+        return replace(self, insight_type=_given("insight type", insight_type))
 
     def find_nodes(self) -> DataFrame:
         """Type, filters, time, order, limit. Unordered limits go by id, so that they give the same rows each time."""
@@ -153,5 +160,19 @@ class GraphQuery:
             raise ValueError("a traversal needs a start")
         return traversal.traverse(self.node_table, self.edge_table, self.start, max_depth=self.depth or D.TRAVERSE_DEPTH, limit=self.n or D.TRAVERSE_LIMIT, **self._walk())
 
+    def find_insights(self) -> DataFrame:
+        """Insights, of the type if one is set, oldest first where a limit is set."""
+        if self.insight_table is None:
+            raise ValueError("this query has no table of insights")
+        out = self.insight_table
+        if self.insight_type:
+            out = out.filter(F.col("type") == self.insight_type)
+        return out.orderBy("generated_at", "id").limit(self.n) if self.n else out
+
     def execute(self) -> DataFrame:
-        return {"FindPath": self.find_path, "Traverse": self.find_reached, "FindNodes": self.find_nodes}[self.kind]()
+        run = {"FindPath": self.find_path, "Traverse": self.find_reached, "FindNodes": self.find_nodes, "FindInsights": self.find_insights}[self.kind]
+        if self.metrics is None:
+            return run()
+        self.metrics.add("queries.executed")
+        with self.metrics.span(self.node_table.sparkSession, f"Query.{self.kind}"):
+            return run()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import defaults as D
-from ..plans.loop import Rounds
+from ..plans.loop import Rounds, stored_seen
 
 
 def walkable(nodes: DataFrame, edges: DataFrame, edge_type: str | None, predicate: Column | None, min_weight: float | None, min_confidence: float | None) -> DataFrame:
@@ -39,12 +39,11 @@ def _levels(walk: DataFrame, first: DataFrame, max_depth: int, rounds: Rounds, t
             F.array_append("types", F.col("type")).alias("types"), F.array_append("weights", F.col("weight")).alias("weights"),
         )
         best = step.groupBy("id").agg(F.min(F.struct("place", "path", "types", "weights")).alias("b")).select("id", "b.*")
-        level = rounds.cut(best.join(visited, "id", "left_anti"))
-        n, hit = level.agg(F.count("*"), F.coalesce(F.bool_or(F.col("id") == F.lit(target)), F.lit(False))).first()  # one job tells both
-        if not n:
+        level, _, seen = stored_seen(best.join(visited, "id", "left_anti"), rounds.name, n=F.count("*"), hits=F.count_if(F.col("id") == F.lit(target)))
+        if not seen["n"]:
             return
-        yield level, depth, n
-        if hit:
+        yield level, depth, seen["n"]
+        if seen["hits"]:
             return
         visited = visited.unionAll(level.select("id"))
 

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -42,6 +43,13 @@ def stored(df: DataFrame, name: str, **options) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def stored_seen(df: DataFrame, name: str, **seen: Column) -> tuple[DataFrame, str, dict]:
+    """stored, and the aggregates `seen` of the rows, taken while they are written: no second job reads them."""
+    watch = Observation()
+    out, path = stored(df.observe(watch, *(c.alias(n) for n, c in seen.items())), name)
+    return out, path, watch.get
+
+
 @contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what runs inside go when it ends, not at some later collection of the driver's garbage."""
@@ -55,18 +63,33 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
 
 
 class Rounds:
-    """The tables of a loop: each is written once, and only as many as a round still reads are kept."""
+    """The tables of a loop: each is written once and dropped as soon as no later round reads it."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.paths = spark, name, []
+        self.spark, self.name, self.paths = spark, name, {}
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, *done: DataFrame) -> DataFrame:
+        """df written and read again; then the tables in `done`, which were cut before, are deleted."""
         out, path = stored(df, self.name)
-        self.paths.append(path)
+        self.paths[id(out)] = (out, path)
+        self.drop(*done)
         return out
 
-    def drop_before(self, keep: int) -> None:
-        """Deletes all but the last `keep` tables."""
-        for path in self.paths[:-keep] if keep else self.paths:
-            drop_dir(self.spark, path)
-        self.paths = self.paths[-keep:] if keep else []
+    def counted(self, df: DataFrame, *done: DataFrame) -> tuple[DataFrame, int]:
+        """cut, and the number of rows."""
+        out, path, seen = stored_seen(df, self.name, n=F.count("*"))
+        self.paths[id(out)] = (out, path)
+        self.drop(*done)
+        return out, seen["n"]
+
+    def counted_where(self, df: DataFrame, condition: Column, *done: DataFrame) -> tuple[DataFrame, int]:
+        """cut, and the number of rows that meet the condition."""
+        out, path, seen = stored_seen(df, self.name, n=F.count_if(condition))
+        self.paths[id(out)] = (out, path)
+        self.drop(*done)
+        return out, seen["n"]
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            if id(t) in self.paths:
+                drop_dir(self.spark, self.paths.pop(id(t))[1])

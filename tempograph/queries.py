@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .defaults import EngineConfig
 from .functions import scores as S
 from .functions.classify import edge_type, node_type
 from .operators import centrality, community, connectivity, health, traversal
 from .operators.query import GraphQuery
+from .plans.loop import shared_dir
 from .sources.fixtures import cte, graph, metrics, table
-from .sources.store import GraphStore, degraded_nodes, pseudo_edges, weakened_edges
-from .streaming.metrics import consume
+from .sources.pipeline import PipelineMonitor, emit_edges, graph_sink, graph_source, sink_stream
+from .sources.store import Drained, GraphStore, degraded_nodes, properties_json, pseudo_edges, steps_json, weakened_edges
+from .streaming.metrics import agent_round, consume
 
 NOW = "2024-02-01 00:00:00"
 AT, SPAN = "2024-01-10 12:00:00", ("2024-01-05 00:00:00", "2024-01-06 00:00:00")
@@ -118,7 +121,9 @@ def n10_edges_asof(spark, d):
 
 @query(NODE_SQL + "id = 'e5'")
 def s6_point_lookup(spark, d):
-    return shown(graph(spark, d, "event_nodes").filter("id = 'e5'"))
+    store = GraphStore.in_memory(spark)
+    store.upsert_nodes(graph(spark, d, "event_nodes").drop("num"), NOW)
+    return shown(store.node("e5"))
 
 
 @query(cte("handoff") + f" select {EDGE_COLUMNS} from handoff where from_node_id = 'u1' and weight < 0.3")
@@ -364,22 +369,29 @@ def h10_insights(spark, d):
     return health.insights_of(_predictions(spark, d), NOW).select(F.get("related_node_ids", F.lit(0)).alias("node_id"), "type", "severity", *r6("confidence"))
 
 
+#: What kind of insight stands for each type of event, as SQL.
+KIND = "case event_type when 'error' then 'BottleneckPrediction' when 'click' then 'HealthDegradation' when 'view' then 'AnomalyDetected' when 'purchase' then 'RetryBudgetExhausted' else 'ClusterDiscovered' end"
+
+
 def _insights(spark, d):
-    e = table(spark, d, "events").filter("value > 100")
-    return e.selectExpr("concat('i', event_id) as id", "event_type as type", "'t' as title", "'d' as description", "array(concat('u', user_id), concat('u', user_id + 1)) as related_node_ids", "value / 1000 as confidence", "'Warning' as severity", "ts as generated_at")
+    """An insight for each event of its user and the next one."""
+    e = table(spark, d, "events")
+    return e.selectExpr("concat('i', event_id) as id", f"{KIND} as type", "'t' as title", "'d' as description", "array(concat('u', user_id), concat('u', user_id + 1)) as related_node_ids", "value / 1000 as confidence", "'Warning' as severity", "ts as generated_at")
 
 
-@query("""with i as (select event_id, concat('i', event_id) as id, event_type as type, [concat('u', user_id), concat('u', user_id + 1)] as n, value / 1000 as c from events where value > 100 and event_id < 800),
-  p as (select a.id, a.type, a.c, a.n, b.id as o, b.c as oc, b.n as bn from i a left join i b on a.type = b.type and b.event_id < 700 and list_has_any(a.n, b.n) and a.id <> b.id where a.event_id >= 700),
-  g as (select id, type, any_value(c) as c, any_value(n) as n, count(o) + 1 as k, coalesce(sum(oc), 0) as s, flatten(list(bn)) as more from p group by id, type)
-  select case when k >= 5 then 'consolidated_' || id else id end as id, type, round(case when k >= 5 then least((c + s) / k + 0.1 * (k - 5), 1) else c end, 6) as confidence, case when k >= 5 then array_to_string(list_sort(list_distinct(list_concat(n, more))), ',') else array_to_string(n, ',') end as nodes from g""")
+@query(f"""with e as (select *, epoch_us(ts) as t from events), s as (select max(t) - (max(t) - min(t)) // 8 as start from e),
+  i as (select concat('i', event_id) as id, {KIND} as type, [concat('u', user_id), concat('u', user_id + 1)] as n, value / 1000 as c, t >= start as late from e, s),
+  x as (select id, type, n, c, late, unnest(n) as node from i), p as (select distinct a.id, b.id as o, b.c as oc, b.n as bn from x a join x b on a.late and not b.late and a.type = b.type and a.node = b.node),
+  g as (select id, count(*) + 1 as k, sum(oc) as s, flatten(list(bn)) as more from p group by id),
+  j as (select i.id, type, n, c, coalesce(k, 1) as k, coalesce(s, 0) as s, more from i left join g using (id) where late)
+  select case when k >= 5 then 'consolidated_' || id else id end as id, type, round(case when k >= 5 then least((c + s) / k + 0.1 * (k - 5), 1) else c end, 6) as confidence, case when k >= 5 then array_to_string(list_sort(list_distinct(list_concat(n, more))), ',') else array_to_string(n, ',') end as nodes from j""")
 def h14_consolidate(spark, d):
-    """The insights of the last eighth of the table's time against all earlier ones. The SQL knows those of 800 events only."""
+    """The insights of the last eighth of the table's time against all earlier ones."""
     e = table(spark, d, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    start = e.agg((F.max("t") - F.expr("(max(t) - min(t)) div 8")).alias("start"))
-    i = _insights(spark, d).crossJoin(F.broadcast(start))
-    late = F.coalesce(F.unix_micros(F.col("generated_at").cast("timestamp")) >= F.col("start"), F.lit(False))
-    out = health.consolidate(i.filter(late).drop("start"), i.filter(~late).drop("start"))
+    start = e.agg((F.max("t") - F.expr("(max(t) - min(t)) div 8")).alias("start")).first()[0]
+    late = F.coalesce(F.unix_micros(F.col("generated_at").cast("timestamp")) >= F.lit(start), F.lit(False))
+    i = _insights(spark, d)
+    out = health.consolidate(i.filter(late), i.filter(~late))
     return out.select("id", "type", *r6("confidence"), F.array_join("related_node_ids", ",").alias("nodes"))
 
 
@@ -436,12 +448,11 @@ def s8_edge_upsert(spark, d):
     return store.edges().select("from_node_id", "to_node_id", "weight", "seq")
 
 
-@query("select concat('u', user_id) as from_node_id, concat('i', event_id) as to_node_id, 'FeedsInto' as type, round(value / 1000, 6) as weight from events where value > 100 and event_id < 500 and event_type = 'error'")
+@query("select concat('u', user_id) as from_node_id, concat('i', event_id) as to_node_id, 'FeedsInto' as type, round(value / 1000, 6) as weight from events where event_type = 'error'")
 def s12_insight_edges(spark, d):
-    """Of the whole table's insights. The SQL knows those of 500 events only."""
     store = GraphStore.in_memory(spark)
     store.insert_insights(_insights(spark, d))
-    return pseudo_edges(store.insights("error")).select("from_node_id", "to_node_id", "type", *r6("weight"))
+    return pseudo_edges(store.insights("BottleneckPrediction")).select("from_node_id", "to_node_id", "type", *r6("weight"))
 
 
 @query(cte("user_nodes") + " select id, case when cast(substr(id, 2) as int) % 2 = 1 then 0.25 else round(health_score, 6) end as health_score, case when cast(substr(id, 2) as int) % 2 = 1 then 3 else 2 end as version from user_nodes")
@@ -461,4 +472,238 @@ def m2_consumer(spark, d):
     return consume(spark, rows, graph(spark, d, "handoff")).select("node_id", "n", *r6("failure_prob", "predicted_latency_ms", "resource_strain", "health_score"))
 
 
-HEADLINE = ("n7_order_limit", "n5_asof", "n10_edges_asof", "t2_traverse", "t1_shortest_path", "a1_degree", "a2_pagerank", "a3_betweenness", "a5_closeness", "a12_topological", "a15_scc", "a16_wcc", "a17_hll", "h3_health_vectors", "h6_bottlenecks", "h16_decay", "s4_upsert")
+@query("select concat('i', event_id) as id, 'AnomalyDetected' as type, round(value / 1000, 6) as confidence from events where event_type = 'view' order by ts, concat('i', event_id) limit 25")
+def n14_find_insights(spark, d):
+    store = GraphStore.in_memory(spark)
+    store.insert_insights(_insights(spark, d))
+    return store.query().insights("AnomalyDetected").limit(25).execute().select("id", "type", *r6("confidence"))
+
+
+@query(NODE_SQL + "valid_to is null")
+def s3_reload_open(spark, d):
+    """A store written at a path, closed, and opened again: rows whose validity hasn't ended."""
+    store = GraphStore.open(spark, shared_dir(spark, "reopened"))
+    store.upsert_nodes(graph(spark, d, "event_nodes").drop("num"), NOW)
+    store.close()
+    return shown(GraphStore.from_config(spark, EngineConfig(path=store.path)).open_nodes())
+
+
+@query(cte("handoff_groups") + ", gone as (select from_node_id as f, to_node_id as t from handoff_groups where seq = (select min(seq) from handoff_groups)) select from_node_id, to_node_id, seq from handoff_groups where (from_node_id, to_node_id) not in (select f, t from gone)")
+def s9_delete_edge(spark, d):
+    store = GraphStore.in_memory(spark)
+    store.upsert_edges(graph(spark, d, "handoff_groups"), "2024-01-01 00:00:00")
+    first = store.edges().agg(F.min_by("id", "seq")).first()[0]
+    store.delete_edge(first, "2024-01-02 00:00:00")
+    return store.edges().select("from_node_id", "to_node_id", "seq")
+
+
+@query("select state, health, takes_writes from (values ('Running', 'Healthy', true), ('Draining', 'Degraded', false), ('Drained', 'Healthy', false), ('Faulted', 'Unhealthy', false)) v(state, health, takes_writes)")
+def s14_states(spark, d):
+    """Every state that a store comes to, its health, and whether it then takes a batch of nodes."""
+    seen = []
+
+    def note(store):
+        try:
+            store.upsert_nodes(spark.createDataFrame([("x",)], "id string"), NOW)
+            takes = True
+        except Drained:
+            takes = False
+        seen.append((store.state, health.store_health(store.state), takes))
+
+    class Stream:
+        def stop(self):
+            note(store)
+
+    store, other = GraphStore.in_memory(spark), GraphStore.in_memory(spark)
+    note(store)
+    store.attach(Stream())
+    store.drain()
+    note(store)
+    try:
+        other.insert_metrics(spark.range(1).selectExpr("'x' as node_id", "'no time' as ts", "map('a', 1D) as values"))
+    except Exception:
+        note(other)
+    return spark.createDataFrame(seen, "state string, health string, takes_writes boolean")
+
+
+@query(cte("user_nodes", "handoff_groups") + " select 'node' as kind, id as a, '' as b, case when cast(substr(id, 2) as int) % 2 = 1 then 3 else 2 end as version from user_nodes union all select 'edge', from_node_id, to_node_id, 0 from handoff_groups")
+def s14_compact(spark, d):
+    store = GraphStore.in_memory(spark)
+    _versions(spark, d, store)
+    store.upsert_edges(graph(spark, d, "handoff_groups"), "2024-01-03 00:00:00")
+    small = store.compact(drop=True)
+    return small.nodes().select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit("").alias("b"), "version").unionAll(small.edges().select(F.lit("edge"), "from_node_id", "to_node_id", F.lit(0)))
+
+
+@query(cte("commerce_nodes") + " select id, type, round(health_score, 6) as health_score from commerce_nodes where type = 'Supplier'")
+def s17_source(spark, d):
+    store = GraphStore.in_memory(spark)
+    store.upsert_nodes(graph(spark, d, "commerce_nodes"), NOW)
+    return graph_source(store, "Supplier").select("id", "type", *r6("health_score"))
+
+
+RESULTS = ("event_type <> 'error' as is_success", "case when event_id % 7 > 0 then named_struct('id', concat('e', event_id), 'kind', event_type) end as value")
+SINK_SQL = "select concat('e', event_id) as id, event_type as type, 2 as version from events where event_type <> 'error' and event_id % 7 > 0"
+
+
+def _to_node():
+    return {"id": F.col("value.id"), "type": F.col("value.kind")}
+
+
+@query(SINK_SQL)
+def s18_sink(spark, d):
+    store = GraphStore.in_memory(spark)
+    graph_sink(table(spark, d, "events").selectExpr(*RESULTS), store, _to_node(), NOW)
+    return store.nodes().select("id", "type", "version")
+
+
+def _event_stream(spark, d):
+    return spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet*").parquet(d)
+
+
+@query(SINK_SQL)
+def s18_sink_stream(spark, d):
+    store = GraphStore.in_memory(spark)
+    sink_stream(_event_stream(spark, d).selectExpr(*RESULTS), store, _to_node(), lambda: NOW, shared_dir(spark, "sink")).awaitTermination()
+    return store.nodes().select("id", "type", "version")
+
+
+@query("select concat('u', user_id) as from_node_id, concat('e', min(event_id)) as to_node_id, count(*) as n_rows from events group by user_id")
+def s19_emit_edges(spark, d):
+    """The rows pass through, and each has left an edge."""
+    store = GraphStore.in_memory(spark)
+    firsts = table(spark, d, "events").groupBy("user_id").agg(F.min("event_id").alias("event_id"), F.count("*").alias("n_rows"))
+    passed = emit_edges(firsts, store, {"from_node_id": F.concat(F.lit("u"), "user_id"), "to_node_id": F.concat(F.lit("e"), "event_id"), "type": F.lit("FeedsInto")}, NOW)
+    rows = passed.select(F.concat(F.lit("u"), "user_id").alias("from_node_id"), "n_rows")
+    return store.edges().join(rows, "from_node_id").select("from_node_id", "to_node_id", "n_rows")
+
+
+@query("select 'pipeline_events_nodes' as id, 'Pipeline' as type, cast(count(*) as double) as items, cast(count(*) filter (where event_type = 'error') as double) as failed, 'Drained' as state from events")
+def s20_attach_pipeline(spark, d):
+    """A watched stream: its node, the metrics that are in the store when it has ended, and the store's state."""
+    store = GraphStore.in_memory(spark)
+    monitor = PipelineMonitor(store, "events", "nodes", lambda: NOW)
+    monitor.finish(monitor.watch(lambda: sink_stream(_event_stream(spark, d).selectExpr(*RESULTS), store, _to_node(), lambda: NOW, shared_dir(spark, "sink"))))
+    m = store.metric_entries().groupBy(F.col("node_id").alias("id")).agg(*(F.sum(F.col("values")[k]).alias(n) for k, n in (("ItemsProcessed", "items"), ("ItemsFailed", "failed"))))
+    return store.nodes().join(m, "id").select("id", "type", "items", "failed", F.lit(store.state).alias("state"))
+
+
+@query("select concat('e', event_id) as id, json_extract_string(props, '$.k') as k, event_type as kind, 'parse' as step, '2024-01-01 00:00:00' as executed_at from events")
+def s21_json(spark, d):
+    """Properties and steps through the store and out as JSON, read back from that."""
+    store = GraphStore.in_memory(spark)
+    e = table(spark, d, "events")
+    store.upsert_nodes(e.select(F.concat(F.lit("e"), "event_id").alias("id"), F.parse_json(F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), F.col("event_type").alias("kind")))).alias("properties")), NOW)
+    step = F.expr("array(named_struct('transformer_name', 'parse', 'executed_at', timestamp_ntz'2024-01-01 00:00:00', 'duration', interval '1' second, 'metadata', map('k', 'v')))")
+    store.upsert_edges(e.select(F.concat(F.lit("e"), "event_id").alias("from_node_id"), F.lit("x").alias("to_node_id"), F.lit("FeedsInto").alias("type"), step.alias("steps")), NOW)
+    props = store.nodes().select("id", properties_json(F.col("properties")).alias("p"))
+    steps = store.edges().select(F.col("from_node_id").alias("id"), steps_json(F.col("steps")).alias("s"))
+    at = F.date_format(F.get_json_object("s", "$[0].executed_at").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss")
+    return props.join(steps, "id").select("id", F.get_json_object("p", "$.k").alias("k"), F.get_json_object("p", "$.kind").alias("kind"), F.get_json_object("s", "$[0].transformer_name").alias("step"), at.alias("executed_at"))
+
+
+@query(bfs_sql("n.type <> 'Supplier'", "o1", 4, 1000))
+def t10_dangling_edges(spark, d):
+    """Edges to nodes that don't exist are passed over."""
+    q = commerce(spark, d)
+    return traversal.traverse(q.node_table.filter("type <> 'Supplier'"), q.edge_table, "o1", edge_type=None, max_depth=4, limit=1000)
+
+
+@query(cte("user_times", "dated_handoff") + f""", n as (select id from user_times where valid_from <= timestamp '{AT}'),
+  e as (select from_node_id as src, to_node_id as dst, seq from dated_handoff where valid_from <= timestamp '{AT}' and valid_to > timestamp '{AT}' and to_node_id in (select id from n)),
+  s as (select min(src) as id from e where src in (select id from n)), w(id, depth, place) as (select id, 0, cast([] as bigint[]) from s union all select e.dst, depth + 1, list_append(place, e.seq) from w join e on e.src = w.id where depth < 3),
+  b as (select *, row_number() over (partition by id order by depth, place) as rn from w)
+  select cast(row_number() over (order by depth, place) - 1 as int) as position, id, depth from b where rn = 1""")
+def t11_asof_traverse(spark, d):
+    """Over what was valid at an instant, from the first node that has an edge then."""
+    store = GraphStore.from_dataframes(spark, graph(spark, d, "user_times"), graph(spark, d, "dated_handoff"), NOW)
+    then = store.as_of(AT)
+    start = then.edge_table.join(then.node_table.select(F.col("id").alias("from_node_id")), "from_node_id", "left_semi").agg(F.min("from_node_id")).first()[0]
+    return then.start_from(start).traverse("FeedsInto", 3).execute()
+
+
+@query(pagerank_sql(40).replace("round(rank, 6)", "round(rank, 4)"))
+def a2_pagerank_converged(spark, d):
+    """Until no rank changes by more than the tolerance; the SQL takes 40 steps, 0.85^40 of the first error."""
+    return centrality.pagerank(graph(spark, d, "user_nodes"), graph(spark, d, "handoff")).select("id", F.round("rank", 4).alias("rank"))
+
+
+@query(BETWEEN.format("and a.s in ('u1', 'u2', 'u3', 'u4', 'u5')"))
+def a4_betweenness_joined(spark, d):
+    """By joins alone, as graphs of any size are searched."""
+    n = graph(spark, d, "user_nodes")
+    return centrality.betweenness(n, graph(spark, d, "handoff_groups"), n.filter("id in ('u1', 'u2', 'u3', 'u4', 'u5')"), local=0).select("id", *r6("score"))
+
+
+@query(CLOSE.format("s in ('u1', 'u2')"))
+def a6_closeness_joined(spark, d):
+    n = graph(spark, d, "user_nodes")
+    return centrality.closeness(n, graph(spark, d, "handoff_groups"), n.filter("id in ('u1', 'u2')"), local=0).select("id", *r6("score"))
+
+
+@query(ORACLES["a12_topological"])
+def a12_topological_joined(spark, d):
+    return connectivity.topological_order(graph(spark, d, "commerce_nodes"), graph(spark, d, "commerce_edges"), local_edges=0)
+
+
+@query(cte("event_nodes", "event_edges") + ", p as (select concat('e', event_id) as id, row_number() over (partition by user_id order by ts, event_id) as n from events) select id, cast(n - 1 as int) as level, false as is_cyclic from p")
+def a12_event_chains(spark, d):
+    """A chain for each user, as long as the user has events, by joins alone."""
+    return connectivity.topological_order(graph(spark, d, "event_nodes"), graph(spark, d, "event_edges"), local_edges=0)
+
+
+@query(CYCLIC + " select id from bad")
+def a13_cyclic_joined(spark, d):
+    return connectivity.topological_order(graph(spark, d, "user_nodes"), graph(spark, d, "handoff_groups"), local_edges=0).filter("is_cyclic").select("id")
+
+
+@query(SCC)
+def a15_scc_joined(spark, d):
+    return connectivity.strong_components(graph(spark, d, "user_nodes"), graph(spark, d, "handoff_groups"), local_edges=0)
+
+
+@query("select concat('u', user_id) as node_id, epoch_us(ts) as at, round(value, 6) as p99, round(greatest(least(1 - (0.35 * cast(event_type = 'error' as double) + 0.35 * least(value / 1000, 1)), 1), 0), 9) as health_score from events")
+def h4_snapshots(spark, d):
+    v = health.snapshot_vectors(metrics(spark, d))
+    return v.select("node_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), *r6("p99"), F.round("health_score", 9).alias("health_score"))
+
+
+@query(VECTORS + " select node_id, 'RetryBudgetExhausted' as type, concat('Retry budget exhausted at ', node_id) as title, 1.0 as confidence, 'Warning' as severity from s where failure_prob > 0.2")
+def h12_retry_insights(spark, d):
+    """Nodes of which more than a fifth fails have used up their retries."""
+    v = health.health_vectors(metrics(spark, d)).withColumn("retry_budget", F.when(F.col("failure_prob") > 0.2, 0).otherwise(F.col("retry_budget")))
+    return health.retry_insights(v, NOW).select(F.get("related_node_ids", F.lit(0)).alias("node_id"), "type", "title", "confidence", "severity")
+
+
+@query(ORACLES["a11_modularity"].replace(" select round(sum", ", q as (select sum").replace(", 6) as q from by_c, t", " as q from by_c, t)") + " select 'ClusterDiscovered' as type, concat('Cluster of ', count(*), ' nodes') as title, 'Info' as severity, any_value(round(q.q, 6)) as confidence, count(*) as n_nodes from m, q group by c")
+def h13_cluster_insights(spark, d):
+    e = graph(spark, d, "handoff")
+    ends = e.select(F.col("from_node_id").alias("id")).union(e.select("to_node_id")).distinct()
+    m = ends.select("id", (F.substring("id", 2, 9).cast("int") % 3).alias("community"))
+    return health.cluster_insights(community.cluster_table(m, e), NOW).select("type", "title", "severity", *r6("confidence"), F.size("related_node_ids").cast("long").alias("n_nodes"))
+
+
+@query(PREDICT.replace("150", "500") + f""", l as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from r)
+  select concat('u', user_id) as node_id, case when hot then 'BottleneckPrediction' else 'HealthDegradation' end as type, round(conf, 6) as confidence from l where rn = 1 and s < 0.7 and (hot or dh > 0.1)""")
+def m3_agent(spark, d):
+    """One round: nodes that stand as their last event left them, against the events before."""
+    e = table(spark, d, "events").selectExpr("concat('u', user_id) as node_id", "ts", "event_id", "1 - least(value / 500, 1) as health_score", "value as predicted_latency_ms", "case when event_type = 'error' then 1D else 0D end as failure_prob")
+    last = e.groupBy("node_id").agg(F.max(F.struct("ts", "event_id")).alias("last"))
+    marked = e.join(last, "node_id")
+    now = marked.filter("event_id = last.event_id")
+    store = GraphStore.in_memory(spark)
+    store.upsert_nodes(now.select(F.col("node_id").alias("id"), F.lit("User").alias("type"), "health_score", "predicted_latency_ms", "failure_prob"), NOW)
+    told = agent_round(store, marked.filter("event_id <> last.event_id").select("node_id", "ts", "health_score", "predicted_latency_ms", "failure_prob"), NOW)
+    return told.select(F.get("related_node_ids", F.lit(0)).alias("node_id"), "type", *r6("confidence"))
+
+
+@query(cte("user_nodes", "handoff_groups") + " select 'nodes.written' as name, cast(count(*) as double) as value from user_nodes union all select 'edges.written', count(*) from handoff_groups union all select 'edges.deleted', 1 union all select 'queries.executed', 2 union all select 'events.Write.nodes', 1")
+def d1_engine_metrics(spark, d):
+    store = GraphStore.from_dataframes(spark, graph(spark, d, "user_nodes"), graph(spark, d, "handoff_groups"), NOW)
+    store.delete_edge(store.edges().agg(F.min("id")).first()[0], "2024-02-02 00:00:00")
+    for q in (store.query().nodes("User"), store.query().limit(3)):
+        q.execute()
+    return store.metrics.table(spark).filter(F.col("name").isin("nodes.written", "edges.written", "edges.deleted", "queries.executed", "events.Write.nodes"))
+
+
+HEADLINE = ("n7_order_limit", "n5_asof", "n10_edges_asof", "t2_traverse", "t1_shortest_path", "a1_degree", "a2_pagerank", "a3_betweenness", "a5_closeness", "a12_topological", "a12_event_chains", "a15_scc", "a16_wcc", "a17_hll", "h3_health_vectors", "h6_bottlenecks", "h16_decay", "s4_upsert")

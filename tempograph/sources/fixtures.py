@@ -15,11 +15,15 @@ GRAPHS = {
             lead(ts) over (partition by user_id order by ts, event_id) as valid_to, lag(event_id) over (partition by user_id order by ts, event_id) as prev from events) x where prev is not null"""),
     "user_nodes": (("events",), "select concat('u', user_id) as id, 'User' as type, avg(1 - least(value / 500, 1)) as health_score from events group by user_id"),
     "handoff": (("events",), """
-        select concat('u', a) as from_node_id, concat('u', b) as to_node_id, 'FeedsInto' as type, n / cast(max(n) over () as double) as weight, cast(1 as double) as confidence, a * 1000000 + b as seq from (
-          select a, b, count(*) as n from (select lag(user_id) over (order by ts, event_id) as a, user_id as b from events) x where a is not null and a <> b group by a, b) y"""),
+        select concat('u', a) as from_node_id, concat('u', b) as to_node_id, 'FeedsInto' as type, least(n / cast(4 as double), 1) as weight, cast(1 as double) as confidence, a * 1000000 + b as seq from (
+          select a, b, count(*) as n from (select lag(user_id) over (partition by date_trunc('hour', ts) order by ts, event_id) as a, user_id as b from events) x where a is not null and a <> b group by a, b) y"""),
     "handoff_groups": (("events",), """
         select distinct concat('u', a) as from_node_id, concat('u', b) as to_node_id, 'FeedsInto' as type, cast(1 as double) as weight, cast(1 as double) as confidence, a * 1000000 + b as seq from (
-          select lag(user_id) over (partition by user_id % 10 order by ts, event_id) as a, user_id as b from events where value > 200) x where a is not null and a <> b"""),
+          select lag(u) over (partition by g order by day) as a, u as b from (select floor(user_id / 30) as g, date_trunc('day', ts) as day, max_by(user_id, (value, event_id)) as u from events group by 1, 2) w) x where a is not null and a <> b"""),
+    "user_times": (("events",), "select concat('u', user_id) as id, 'User' as type, min(ts) as valid_from from events group by user_id"),
+    "dated_handoff": (("events",), """
+        select concat('u', a) as from_node_id, concat('u', b) as to_node_id, 'FeedsInto' as type, min(day) as valid_from, max(day) + interval 5 day as valid_to, a * 1000000 + b as seq from (
+          select lag(u) over (partition by g order by day) as a, u as b, day from (select floor(user_id / 30) as g, date_trunc('day', ts) as day, max_by(user_id, (value, event_id)) as u from events group by 1, 2) w) x where a is not null and a <> b group by a, b"""),
     "commerce_nodes": (("region", "nation", "customer", "supplier", "part", "orders"), """
         select concat('r', r_regionkey) as id, 'Region' as type, cast(1 as double) as health_score from region union all select concat('n', n_nationkey), 'Nation', 1 from nation union all
         select concat('c', c_custkey), 'Customer', case when c_acctbal < 0 then 0.2 else 0.9 end from customer union all select concat('s', s_suppkey), 'Supplier', case when s_acctbal < 0 then 0.2 else 0.9 end from supplier union all

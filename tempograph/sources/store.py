@@ -5,17 +5,20 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import defaults as D
+from ..diagnostics import EngineMetrics
 from ..functions.classify import node_type
 from ..functions.temporal import as_of, instant
 from ..operators.query import GraphQuery
-from ..plans.loop import shared_dir
-from ..schema import EDGE, EDGE_DEFAULTS, EDGE_TYPES, INSIGHT, NODE, NODE_DEFAULTS, SCHEMA_VERSION
+from ..plans.loop import drop_dir, shared_dir
+from ..schema import EDGE, EDGE_DEFAULTS, EDGE_TYPES, INSIGHT, INSIGHT_TYPES, METRIC, NODE, NODE_DEFAULTS, SCHEMA_VERSION, SEVERITIES
 
 NODE_KEY, EDGE_KEY = ("id",), ("from_node_id", "to_node_id", "type")
+LOG = "deleted boolean, log_seq bigint, row_no bigint"
+SCHEMAS = {"nodes": f"{NODE}, {LOG}", "edges": f"{EDGE}, {LOG}", "insights": INSIGHT, "metrics": METRIC}
 
 
 def completed(df: DataFrame, defaults: dict[str, str], schema: str, now) -> DataFrame:
@@ -29,11 +32,11 @@ def completed(df: DataFrame, defaults: dict[str, str], schema: str, now) -> Data
 
 
 def latest(log: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """The last row of each key by (tx_time, log_seq), without deleted ones. An aggregate: rows are combined before the
-    shuffle, which a window over the key wouldn't do."""
+    """The last row of each key by (tx_time, log_seq, row_no), without deleted ones. An aggregate: rows are combined before
+    the shuffle, which a window over the key wouldn't do."""
     rest = [c for c in log.columns if c not in key]
-    last = log.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("tx_time", "log_seq")).alias("r")).select(*key, "r.*")
-    return last.filter("not deleted").drop("deleted", "log_seq")
+    last = log.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("tx_time", "log_seq", "row_no")).alias("r")).select(*key, "r.*")
+    return last.filter("not deleted").drop("deleted", "log_seq", "row_no")
 
 
 class Drained(RuntimeError):
@@ -41,12 +44,19 @@ class Drained(RuntimeError):
 
 
 class GraphStore:
-    """Logs of nodes, edges and insights as Parquet folders. A write appends one batch; nothing is overwritten, so an older
-    transaction time can be read again. Every clock is an argument."""
+    """Logs of nodes, edges, insights and metrics as Parquet folders. A write appends one batch; nothing is overwritten, so
+    an older transaction time can be read again. Every clock is an argument. A store is Running, Draining while it waits
+    for the streams attached to it, Drained when it takes no more writes, and Faulted after a write that failed."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, auto_classify: bool = False):
         self.spark, self.path, self.auto_classify = spark, path or shared_dir(spark, "store"), auto_classify
         self.state, self.serial = "Running", 0
+        self.metrics, self.streams = EngineMetrics(), []
+
+    @classmethod
+    def from_config(cls, spark: SparkSession, config: D.EngineConfig) -> GraphStore:
+        """What the configuration opens: a store at its path, or one in memory."""
+        return cls.open(spark, config.path, auto_classify=config.auto_classify) if config.path else cls.in_memory(spark, auto_classify=config.auto_classify)
 
     @classmethod
     def in_memory(cls, spark: SparkSession, **options) -> GraphStore:
@@ -73,16 +83,24 @@ class GraphStore:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def _log(self, name: str) -> DataFrame:
-        schema = {"nodes": f"{NODE}, deleted boolean, log_seq bigint", "edges": f"{EDGE}, deleted boolean, log_seq bigint", "insights": INSIGHT}[name]
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], SCHEMAS[name])
 
     def _append(self, name: str, df: DataFrame, deleted: bool = False) -> None:
-        if self.state != "Running":
+        """Appends a batch. Its rows are counted by the write itself; a row's place in the batch tells equal keys apart."""
+        if self.state not in (("Running", "Draining") if name == "metrics" else ("Running",)):
             raise Drained(f"the store is {self.state}")
-        if name != "insights":
+        if name in ("nodes", "edges"):
             self.serial += 1
+            df = df if "row_no" in df.columns else df.withColumn("row_no", F.monotonically_increasing_id())
             df = df.withColumns({"deleted": F.lit(deleted), "log_seq": F.lit(self.serial).cast("long")})
-        df.write.mode("append").parquet(f"{self.path}/{name}")
+        seen = Observation()
+        try:
+            with self.metrics.span(self.spark, f"Delete.{name}" if deleted else f"Write.{name}"):
+                df.observe(seen, F.count("*").alias("n")).write.mode("append").parquet(f"{self.path}/{name}")
+        except Exception:
+            self.state = "Faulted"
+            raise
+        self.metrics.add(f"{name}.{'deleted' if deleted else 'written'}", seen.get["n"])
 
     def nodes(self) -> DataFrame:
         return latest(self._log("nodes"), NODE_KEY)
@@ -103,7 +121,7 @@ class GraphStore:
         return self.nodes().filter(F.col("id") == node_id)
 
     def query(self) -> GraphQuery:
-        return GraphQuery(self.nodes(), self.edges())
+        return GraphQuery(self.nodes(), self.edges(), insight_table=self.insights(), metrics=self.metrics)
 
     def upsert_nodes(self, df: DataFrame, now: datetime | str) -> None:
         """Appends nodes with their version raised by one and now as their transaction time. The last of equal ids wins.
@@ -124,18 +142,18 @@ class GraphStore:
         self._append("nodes", nodes.select(*self.nodes().columns).withColumn("tx_time", instant(now)), deleted=True)
 
     def upsert_edges(self, df: DataFrame, now: datetime | str) -> None:
-        """Appends edges; the key is (from, to, type). A key keeps the place (seq) of its first insertion; ids are new each
-        time: hashes of key and write."""
-        unknown = f"type not in ({', '.join(repr(t) for t in EDGE_TYPES)})"
+        """Appends edges; the key is (from, to, type), of equal ones the last wins. A key keeps the place (seq) of its first
+        insertion; ids are new each time: hashes of key and write."""
         df = completed(df, EDGE_DEFAULTS, EDGE, now)
-        if not df.filter(unknown).isEmpty():
+        if not df.filter(~F.col("type").isin(*EDGE_TYPES)).isEmpty():
             raise ValueError(f"edge types are {EDGE_TYPES}")
+        columns, df = df.columns, df.withColumn("row_no", F.monotonically_increasing_id())
         old = self.edges().select(*EDGE_KEY, F.col("seq").alias("was"))
         base = (self.serial + 1) << 40
-        placed = df.withColumn("seq", F.coalesce("seq", F.lit(base) + F.monotonically_increasing_id()))
+        placed = df.withColumn("seq", F.coalesce("seq", F.lit(base) + F.col("row_no")))
         fresh = placed.join(old, list(EDGE_KEY), "left").withColumn("seq", F.coalesce("was", "seq")).drop("was")
         fresh = fresh.withColumns({"id": F.coalesce("id", F.xxhash64(*EDGE_KEY, F.lit(base))), "tx_time": instant(now)})
-        self._append("edges", fresh.select(*df.columns))
+        self._append("edges", fresh.select(*columns, "row_no"))
 
     def delete_edge(self, edge_id: int, now: datetime | str) -> None:
         self._append("edges", self.edges().filter(F.col("id") == edge_id).withColumn("tx_time", instant(now)), deleted=True)
@@ -151,8 +169,18 @@ class GraphStore:
         self._append("nodes", new.select(*self.nodes().columns))
 
     def insert_insights(self, df: DataFrame) -> None:
+        """Appends insights as they are; types and severities are of a fixed set."""
+        if not df.filter(~F.col("type").isin(*INSIGHT_TYPES) | ~F.col("severity").isin(*SEVERITIES)).isEmpty():
+            raise ValueError(f"insight types are {INSIGHT_TYPES}, severities {SEVERITIES}")
         self._append("insights", df.select(*(c.split()[0] for c in INSIGHT.split(", "))))
 
+    def insert_metrics(self, df: DataFrame) -> None:
+        """Appends entries (node_id, ts, values); taken while draining too, as the last ones come then."""
+        self._append("metrics", df.select("node_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "values"))
+
+    def metric_entries(self) -> DataFrame:
+        return self._log("metrics")
+
     def insights(self, insight_type: str | None = None, limit: int | None = None) -> DataFrame:
         """Insights as they are; pseudo_edges gives them as edges."""
         out = self._log("insights")
@@ -167,20 +195,43 @@ class GraphStore:
 
     def as_of(self, t: datetime | str) -> GraphQuery:
         """A query over what was valid at t, for traversals too."""
-        return GraphQuery(self.nodes().filter(as_of(t)), self.edges().filter(as_of(t, closed=False)))
-
-    def compact(self, now: datetime | str) -> GraphStore:
-        """A new store of the current rows alone."""
-        out = GraphStore(self.spark, None, self.auto_classify)
-        for name, rows in (("nodes", self.nodes()), ("edges", self.edges())):
-            out._append(name, rows)
-        if self._exists("insights"):
-            out._append("insights", self.insights())
+        return GraphQuery(self.nodes().filter(as_of(t)), self.edges().filter(as_of(t, closed=False)), insight_table=self.insights(), metrics=self.metrics)
+
+    def compact(self, path: str | None = None, drop: bool = False) -> GraphStore:
+        """A new store of the current rows alone. drop: this one is drained, and its logs are deleted once the new one is
+        whole."""
+        out = GraphStore(self.spark, path, self.auto_classify)
+        for name in ("nodes", "edges", "insights", "metrics"):
+            if self._exists(name):
+                out._append(name, {"nodes": self.nodes, "edges": self.edges}.get(name, lambda name=name: self._log(name))())
+        if drop:
+            self.drain()
+            drop_dir(self.spark, self.path)
         return out
 
+    def attach(self, stream) -> None:
+        """A streaming query that drain stops."""
+        self.streams.append(stream)
+
     def drain(self) -> None:
+        """Lets attached streams end what they have begun, stops them, and takes no more writes."""
+        if self.state != "Running":
+            return
+        self.state = "Draining"
+        for s in self.streams:
+            s.stop()
+        self.streams = []
         self.state = "Drained"
 
+    def fault(self) -> None:
+        self.state = "Faulted"
+
+    def close(self, drop: bool = False) -> None:
+        """Drains; drop deletes the logs too."""
+        self.drain()
+        if drop:
+            drop_dir(self.spark, self.path)
+
     def manifest(self) -> str:
         return json.dumps({"schema_version": SCHEMA_VERSION, "path": self.path, "state": self.state})
 

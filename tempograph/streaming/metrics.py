@@ -13,6 +13,7 @@ from .. import defaults as D
 from ..functions import scores as S
 from ..operators import health
 from ..plans.loop import shared_dir, stored
+from ..schema import METRIC
 from ..sources.store import GraphStore
 
 STATE = "n long, failed long, a double, b double, seen boolean"
@@ -35,6 +36,12 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     yield pd.DataFrame({"node_id": [key[0]], "n": [n], "failed": [failed], "predicted_latency_ms": [ahead]})
 
 
+def metrics_stream(spark: SparkSession, path: str, config: D.EngineConfig | None = None) -> DataFrame:
+    """A stream of the metric entries that are added to a folder of Parquet files. A trigger takes a bounded number of
+    files, the others wait: nothing is dropped when entries come faster than they are taken in."""
+    return spark.readStream.schema(METRIC).option("maxFilesPerTrigger", (config or D.EngineConfig()).metrics_files_per_trigger).parquet(path)
+
+
 def running_health(metrics: DataFrame) -> DataFrame:
     """A stream of (node_id, n, failed, predicted_latency_ms) from one of (node_id, ts, values): a row for each node that a
     trigger touches."""

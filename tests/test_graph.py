@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import random
+import time
+
 import duckdb
 import pytest
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
 from tempograph import queries
+from tempograph.defaults import EngineConfig
+from tempograph.diagnostics import Cancellation
 from tempograph.functions import scores as S
 from tempograph.operators import centrality, community, connectivity, health, traversal
 from tempograph.operators.query import GraphQuery
-from tempograph.sources.pipeline import emit_edges, graph_sink, graph_source
+from tempograph.plans.loop import shared_dir
+from tempograph.sources.pipeline import PipelineMonitor, emit_edges, graph_sink, graph_source, sink_stream
 from tempograph.sources.store import Drained, GraphStore
-from tempograph.streaming.metrics import agent_round, apply_health
+from tempograph.streaming.metrics import agent_round, agent_stream, apply_health, metrics_stream
 
 SF = "/root/testdata/sf0.001"
 NOW = "2024-01-31 00:00:00"
@@ -104,7 +111,7 @@ def test_centralities(spark, local):
     n = nodes(spark, A=1, B=1, C=1)
     between = {r.id: r.score for r in centrality.betweenness(n, edges(spark, "AB", "BC"), local=local).collect()}
     assert between == {"A": 0.0, "B": 1.0, "C": 0.0}
-    ranks = {r.id: r.rank for r in centrality.pagerank(nodes(spark, A=1, B=1), edges(spark, "AB", "BA"), local=local).collect()}
+    ranks = {r.id: r.rank for r in centrality.pagerank(nodes(spark, A=1, B=1), edges(spark, "AB", "BA")).collect()}
     assert ranks["A"] == pytest.approx(ranks["B"]) == pytest.approx(0.5)
     close = {r.id: r.score for r in centrality.closeness(n, edges(spark, "AB", "BC"), local=local).collect()}
     assert close == {"A": pytest.approx(2 / 3), "B": 2.0, "C": 0.0}
@@ -118,7 +125,7 @@ def test_local_and_joined_centralities_agree(spark):
     e = edges(spark, "AB", "AB", "AC", "BD", "CD", "DE", "EA", "EE", "DX", "YA")
     some = n.filter("id in ('A', 'F')")
     table = lambda df: {r[0]: r[1] for r in df.collect()}
-    for one in (lambda k: centrality.betweenness(n, e, some, k), lambda k: centrality.closeness(n, e, local=k), lambda k: centrality.pagerank(n, e, max_iterations=5, local=k)):
+    for one in (lambda k: centrality.betweenness(n, e, some, k), lambda k: centrality.closeness(n, e, local=k)):
         assert table(one(100)) == pytest.approx(table(one(0)))
     assert centrality.closeness(n, e, n.limit(0)).isEmpty()
     assert set(table(centrality.betweenness(n, edges(spark, "XY"))).values()) == {0.0}
@@ -129,8 +136,8 @@ def test_communities(spark):
     e = edges(spark, "AB", "BC", "CA", "DE", "EF", "FD", "CD")
     assert sets(community.clusters(n, e, mode="modularity"), "community") == [["A", "B", "C"], ["D", "E", "F"]]
     assert community.clusters(n, e).filter("community = id").count() == 6
-    with pytest.raises(ValueError):
-        community.clusters(n, edges(spark, "AA"))
+    # A's loop gives it a gain: 1/6 - 2 * 2/36 > 0, so it goes where its first edge elsewhere leads.
+    assert sets(community.clusters(n, edges(spark, "AA", "AC", "BD")), "community") == [["A", "C"], ["B"], ["D"], ["E"], ["F"]]
 
 
 def test_scores(spark):
@@ -159,7 +166,7 @@ def test_store(spark):
     store.update_node_health(up.withColumn("expected_version", F.lit(3)), NOW)
     assert [r.id for r in store.degraded_nodes().collect()] == ["n1"]
     again = GraphStore.open(spark, store.path)
-    assert again.nodes().count() == 2 and again.open_nodes().count() == 2 and again.compact(NOW).edges().count() == 2
+    assert again.nodes().count() == 2 and again.open_nodes().count() == 2 and again.compact().edges().count() == 2
     history = spark.createDataFrame([("n1", "2024-01-30 00:00:00", 1.0, 100.0)], "node_id string, ts string, health_score double, predicted_latency_ms double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     told = agent_round(store, history, NOW).collect()
     assert [(r.type, r.severity, list(r.related_node_ids)) for r in told] == [("BottleneckPrediction", "Critical", ["n1"])] and store.insights("BottleneckPrediction").count() == 1
@@ -204,10 +211,10 @@ def test_levels_by_tables_and_in_one_task(spark, local):
 
 
 def test_consolidate_takes_the_whole_table(spark, duck):
-    e = duck.sql("select event_id, user_id, event_type, value, epoch_us(ts) from events").fetchall()
+    e = duck.sql(f"select event_id, user_id, {queries.KIND}, value, epoch_us(ts) from events").fetchall()
     first, last = min(r[4] for r in e), max(r[4] for r in e)
     start = last - (last - first) // 8
-    i = [(f"i{n}", kind, [f"u{u}", f"u{u + 1}"], v / 1000, t >= start) for n, u, kind, v, t in e if v > 100]
+    i = [(f"i{n}", kind, [f"u{u}", f"u{u + 1}"], v / 1000, t >= start) for n, u, kind, v, t in e]
     want = []
     for key, kind, nodes, c, late in i:
         if late:
@@ -217,9 +224,121 @@ def test_consolidate_takes_the_whole_table(spark, duck):
             want.append((f"consolidated_{key}" if many else key, kind, pytest.approx(value, abs=1e-6), ",".join(sorted({*nodes, *(x for o in near for x in o[2])}) if many else nodes)))
     got = sorted(map(tuple, queries.QUERIES["h14_consolidate"](spark, SF).collect()))
     assert got == sorted(want, key=lambda r: r[0]) and len(got) > 5
-    assert any(r[0].startswith("consolidated_") for r in got) and not all(r[0].startswith("consolidated_") for r in got)
-
-
-def test_insight_edges_take_the_whole_table(spark, duck):
-    want = duck.sql("select concat('u', user_id) as from_node_id, concat('i', event_id) as to_node_id, 'FeedsInto' as type, round(value / 1000, 6) as weight from events where value > 100 and event_type = 'error'").df()
-    assert rows(queries.QUERIES["s12_insight_edges"](spark, SF).toPandas()) == rows(want) and len(want) > 20
+    assert any(r[0].startswith("consolidated_") for r in got)
+
+
+def test_levels_of_many_shapes(spark):
+    """Random graphs with chains, trees, rings, parallel edges and loops: joins alone, a few edges in a task, and all in one
+    tell the same levels as peeling by hand."""
+    r = random.Random(7)
+    pairs = [(f"c{i}", f"c{i + 1}") for i in range(70)] + [(f"t{i // 2}", f"t{i}") for i in range(1, 60)] + [(f"r{i}", f"r{(i + 1) % 5}") for i in range(5)] + [("r2", "q1"), ("q1", "q2"), ("q2", "c40"), ("z", "z"), ("z", "y")]
+    pairs += [(f"c{i}", f"t{i}") for i in range(0, 60, 7)] + [tuple(sorted((f"x{r.randrange(30):02}", f"x{r.randrange(30):02}"))) for _ in range(45)] + [("c3", "c4"), ("t4", "x15"), ("c69", "x01")]
+    pairs = [p for p in pairs if p[0] != p[1] or p[0] == "z"]
+    ids = sorted({x for p in pairs for x in p} | {"alone"})
+    n, e = nodes(spark, **dict.fromkeys(ids, 1.0)), edges(spark, *pairs)
+    left, level = set(pairs), {}
+    live = set(ids)
+    while True:
+        ready = {x for x in live if not any(b == x for _, b in left)}
+        if not ready:
+            break
+        for x in ready:
+            level[x] = max([level[a] + 1 for a, b in pairs if b == x], default=0)
+        live -= ready
+        left = {p for p in left if p[0] not in ready}
+    want = {x: (level.get(x), x not in level) for x in ids}
+    for local in (0, 40, 10_000):
+        got = {r.id: (r.level, r.is_cyclic) for r in connectivity.topological_order(n, e, local).collect()}
+        assert got == want, local
+
+
+def test_greedy_groups_follow_the_order(spark):
+    r = random.Random(3)
+    rows = [(f"i{k}", r.choice("AB"), [f"n{r.randrange(40)}" for _ in range(r.randrange(4))], f"2024-01-01 00:{r.randrange(20):02}:00") for k in range(120)]
+    leaders, want = [], {}
+    for i, kind, own, _ in sorted(rows, key=lambda x: (x[3], x[0])):
+        first = next((j for j, k, nodes_ in leaders if k == kind and set(own) & set(nodes_)), None)
+        if first is None:
+            leaders.append((i, kind, own))
+        want[i] = first or i
+    df = spark.createDataFrame(rows, "id string, type string, related_node_ids array<string>, at string").selectExpr("*", "cast(at as timestamp_ntz) as generated_at")
+    assert {x.id: x.leader for x in health.group_greedily(df).collect()} == want and len(set(want.values())) > 20
+    assert health.group_greedily(df.limit(0)).count() == 0
+
+
+def test_equal_keys_of_one_batch(spark):
+    """The last row of a key wins, though the batch is spread over partitions."""
+    store = GraphStore.in_memory(spark)
+    n = spark.createDataFrame([(f"n{i % 50}", f"{i:04}") for i in range(2000)], "id string, label string").repartitionByRange(7, "label")
+    store.upsert_nodes(n, NOW)
+    assert {r.id: r.label for r in store.nodes().collect()} == {f"n{i % 50}": f"{i:04}" for i in range(2000)}
+    e = spark.createDataFrame([("a", f"b{i % 5}", i / 100) for i in range(100)], "from_node_id string, to_node_id string, weight double").repartitionByRange(7, "weight")
+    store.upsert_edges(e, NOW)
+    assert {r.to_node_id: r.weight for r in store.edges().collect()} == {f"b{i % 5}": i / 100 for i in range(100)}
+    with pytest.raises(ValueError):
+        store.insert_insights(spark.createDataFrame([("i", "Odd", "t", "d", ["n"], 1.0, "Info", NOW)], "id string, type string, title string, description string, related_node_ids array<string>, confidence double, severity string, generated_at string"))
+
+
+def test_cancelling(spark):
+    token, failed = Cancellation(spark), []
+
+    def work():
+        try:
+            with token:
+                spark.range(4).repartition(2).mapInPandas(lambda b: (time.sleep(30), *b)[1:], "id long").count()
+        except Exception as e:
+            failed.append(e)
+
+    t = InheritableThread(target=work)
+    t.start()
+    time.sleep(4)
+    token.cancel()
+    t.join(25)
+    assert failed and not t.is_alive()
+    with pytest.raises(RuntimeError), token:
+        pass
+
+
+def test_monitor_minds_its_own_query(spark, tmp_path):
+    """Another query's end doesn't drain the store; a failing one faults it."""
+    import pandas as pd
+
+    for i in range(3):
+        pd.DataFrame({"is_success": [True, False], "id": [f"a{i}", f"b{i}"]}).to_parquet(tmp_path / f"{i}.parquet")
+    stream = lambda: spark.readStream.schema("is_success boolean, id string").parquet(str(tmp_path)).selectExpr("is_success", "named_struct('id', id) as value")
+    store, other = GraphStore.in_memory(spark), GraphStore.in_memory(spark)
+    monitor = PipelineMonitor(store, "files", "nodes", lambda: NOW)
+    to_node = {"id": F.col("value.id")}
+    spark.streams.addListener(monitor)
+    sink_stream(stream(), other, to_node, lambda: NOW, shared_dir(spark, "c")).awaitTermination()
+    spark.streams.removeListener(monitor)
+    assert store.state == "Running" and not monitor.entries
+    monitor = PipelineMonitor(store, "files", "nodes", lambda: NOW)
+    q = monitor.watch(lambda: sink_stream(stream().selectExpr("is_success", "named_struct('id', raise_error('x')) as value"), store, {"id": F.col("value.id").cast("string")}, lambda: NOW, shared_dir(spark, "c")))
+    monitor.finish(q)
+    assert store.state == "Faulted" and monitor.error
+
+
+def test_metrics_wait_for_their_trigger(spark, tmp_path):
+    import pandas as pd
+
+    for i in range(5):
+        spark.createDataFrame(pd.DataFrame({"node_id": ["n1"], "x": [float(i)]})).selectExpr("node_id", f"timestamp_ntz'2024-01-01 00:00:0{i}' as ts", "map('AvgLatencyMs', x) as values").write.mode("append").parquet(str(tmp_path / "m"))
+    sizes = []
+    stream = metrics_stream(spark, str(tmp_path / "m"), EngineConfig(metrics_files_per_trigger=2))
+    stream.writeStream.foreachBatch(lambda df, _: sizes.append(df.count())).trigger(availableNow=True).start().awaitTermination()
+    assert sum(sizes) == 5 and max(sizes) <= 2
+
+
+def test_agent_stream(spark, tmp_path):
+    store = GraphStore.in_memory(spark)
+    store.upsert_nodes(spark.createDataFrame([("n1", 0.1, 900.0)], "id string, health_score double, predicted_latency_ms double"), NOW)
+    history = spark.createDataFrame([("n1", "2024-01-30 00:00:00", 1.0, 100.0)], "node_id string, ts string, health_score double, predicted_latency_ms double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    spark.range(1).write.parquet(str(tmp_path / "ticks"))
+    ticks = spark.readStream.schema("id long").parquet(str(tmp_path / "ticks"))
+    q = agent_stream(store, ticks, history, lambda: NOW, str(tmp_path / "c"))
+    until = time.time() + 25
+    while time.time() < until and store.insights().isEmpty():
+        time.sleep(0.5)
+    q.stop()
+    assert {r.type for r in store.insights().collect()} == {"BottleneckPrediction"}
