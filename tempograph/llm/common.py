@@ -5,10 +5,10 @@ from __future__ import annotations
 import ctypes
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.loop import drop_dir, shared_dir, shuffles_freed, stored
+from ..plans.loop import drop_dir, shared_dir, shuffles_freed, stored, stored_seen
 
 #: The characters that separate words and are stripped from lines: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -20,6 +20,22 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: At most so many keys can each have a share of 1 / HOT_KEYS of all rows, whatever the rows.
+HOT_KEYS = 2000
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, n: Column, total: int) -> DataFrame:
+    """rows joined with a table of one row for each key, of which n says how many of the `total` rows have that key.
+
+    Keys with a share of 1 / HOT_KEYS or more are at most HOT_KEYS, whatever the size, so their part of the table is
+    broadcast and their rows stay where they are; all others are joined by a shuffle in which no key is large."""
+    hot = table.filter(n * HOT_KEYS >= total)
+    cold = table.filter(n * HOT_KEYS < total).hint("merge")
+    names = hot.select(F.col(key).alias("__hot"))
+    rest = rows.join(F.broadcast(names), F.col(key) == F.col("__hot"), "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def tidy() -> None:
     """Gives back what a worker has freed. Workers are kept for later stages, and without this each keeps the most it ever
     used, in Arrow's pool and in malloc's."""
@@ -29,4 +45,4 @@ def tidy() -> None:
         trim(0)
 
 
-__all__ = ["BLANKS", "BLANK_BYTES", "drop_dir", "shared_dir", "shuffles_freed", "stored", "text_of", "tidy"]
+__all__ = ["BLANKS", "BLANK_BYTES", "HOT_KEYS", "drop_dir", "join_spread", "shared_dir", "shuffles_freed", "stored", "stored_seen", "text_of", "tidy"]

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_BYTES, drop_dir, shared_dir, stored, text_of, tidy
+from .common import BLANK_BYTES, drop_dir, join_spread, shared_dir, stored, text_of, tidy
 
 MIN_CHARS, MIN_DOCS, FANOUT, BATCHES = 40, 5, 3, 4
 RUN = "key binary, n_docs long, keeper long"
@@ -46,59 +47,139 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 class LineRuns:
     """Sorted runs of line keys in levels: `fanout` runs of one level are merged into one of the next.
 
-    A run is a folder of Parquet files sorted by key, one row (key, n_docs, keeper) for each key, keeper being the
-    largest doc_id that holds it. Runs are immutable, so a lost task or a failed batch leaves the others as they were.
+    A run is a Parquet table of rows (key, n_docs, keeper), keeper being the largest doc_id that holds the key, dealt by
+    key into a fixed number of buckets, one sorted file each. Runs are disjoint: a batch is merge-anti-joined with all of
+    them, and only keys that none of them has make its own run; what it knows of keys that one has goes into a run of
+    updates, which is folded in when runs are compacted. As all runs are dealt alike, neither the anti-join nor the
+    compaction moves a row of an old run. Runs are immutable files in the shared folder, so a lost task or a failed batch
+    leaves the others as they were; the session's catalog knows them by name. saved() tells what a later session needs to
+    go on with them.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = path or shared_dir(spark, "lineruns")
         self.levels: list[list[str]] = []
-        self.serial = itertools.count()
-
-    def _write(self, rows: DataFrame) -> str:
-        """One row for each key: counts are combined before the shuffle, so a line that all documents share is one row
-        from each task."""
-        path = f"{self.path}/run-{next(self.serial)}"
-        rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper")).sortWithinPartitions("key").write.parquet(path)
-        return path
+        self.updates: list[str] = []
+
+    def saved(self) -> dict:
+        return {"path": self.path, "fanout": self.fanout, "buckets": self.buckets, "levels": self.levels, "updates": self.updates}
+
+    @classmethod
+    def resumed(cls, spark: SparkSession, saved: dict) -> LineRuns:
+        """The runs of an earlier session, by the files that it left."""
+        runs = cls(spark, saved["path"], saved["fanout"], saved["buckets"])
+        runs.levels, runs.updates = [list(x) for x in saved["levels"]], list(saved["updates"])
+        for name in [*itertools.chain(*runs.levels), *runs.updates]:
+            if not spark.catalog.tableExists(name):
+                spark.sql(f"create table {name} ({RUN.replace(' long', ' bigint')}) using parquet clustered by (key) sorted by (key) into {runs.buckets} buckets location '{runs.path}/{name}'")
+        return runs
+
+    def _write(self, rows: DataFrame) -> str | None:
+        """A run of rows that have one row for each key; None if there are none."""
+        name, watch = f"linerun_{uuid.uuid4().hex}", Observation()
+        rows.observe(watch, F.count("*").alias("n")).write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.path}/{name}").saveAsTable(name)
+        if watch.get["n"]:
+            return name
+        self._drop(name)
+        return None
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"drop table if exists {name}")
+        drop_dir(self.spark, f"{self.path}/{name}")
+
+    def _read(self, names: list[str]) -> DataFrame:
+        out = self.spark.createDataFrame([], RUN)
+        for name in names:
+            out = out.unionAll(self.spark.table(name))
+        return out
+
+    def _folded(self, run: DataFrame, updates: list[str]) -> DataFrame:
+        for name in updates:
+            u = self.spark.table(name).select("key", F.col("n_docs").alias("__n"), F.col("keeper").alias("__keeper"))
+            run = run.join(u.hint("merge"), "key", "left").select("key", (F.col("n_docs") + F.coalesce("__n", F.lit(0))).alias("n_docs"), F.greatest("keeper", "__keeper").alias("keeper"))
+        return run
+
+    def runs(self) -> list[str]:
+        return list(itertools.chain(*self.levels))
+
+    def known(self, keys: DataFrame, fresh: bool) -> DataFrame:
+        """The rows of a table with a column key whose key is in a run, or, if fresh, in none: a merge join for each run,
+        which moves no row of the run."""
+        if fresh:
+            for name in self.runs():
+                keys = keys.join(self.spark.table(name).select("key").hint("merge"), "key", "left_anti")
+            return keys
+        found = keys.limit(0)
+        for name in self.runs():
+            found = found.unionAll(keys.join(self.spark.table(name).select("key").hint("merge"), "key", "left_semi"))
+        return found
 
     def add(self, keys: DataFrame) -> None:
-        """Adds a batch of (key, doc_id) as a run and compacts full levels."""
-        new = self._write(keys.select("key", F.lit(1).cast("long").alias("n_docs"), F.col("doc_id").alias("keeper")))
+        """Takes in a batch of (key, doc_id): its fresh keys as a run, what it tells of known ones as updates; then compacts
+        full levels. Counts are combined before the shuffle, so a line that all documents share is one row from each task."""
+        batch = keys.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
+        if not self.runs():
+            new, more = self._write(batch), None
+        else:
+            batch, path = stored(batch, "linebatch")
+            new, more = self._write(self.known(batch, True)), self._write(self.known(batch, False))
+            drop_dir(self.spark, path)
+        if more:
+            self.updates.append(more)
         for level in itertools.count():
             if level == len(self.levels):
                 self.levels.append([])
-            self.levels[level].append(new)
+            if new:
+                self.levels[level].append(new)
             if len(self.levels[level]) < self.fanout:
                 return
             old, self.levels[level] = self.levels[level], []
+            self._fold_updates(old)
             new = self._write(self._read(old))
-            for p in old:
-                drop_dir(self.spark, p)
+            for name in old:
+                self._drop(name)
+
+    def _fold_updates(self, old: list[str]) -> None:
+        """Folds the updates into the runs that are about to be merged. Updates of keys of other runs stay."""
+        if not self.updates:
+            return
+        for i, name in enumerate(old):
+            folded = self._write(self._folded(self.spark.table(name), self.updates))
+            old[i] = folded
+            left = [self._write(self.spark.table(u).join(self.spark.table(name).select("key").hint("merge"), "key", "left_anti")) for u in self.updates]
+            for u in [*self.updates, name]:
+                self._drop(u)
+            self.updates = [u for u in left if u]
 
     def merged(self) -> DataFrame:
-        """(key, n_docs, keeper) over all runs."""
-        return self._read([p for level in self.levels for p in level]).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
-
-    def fresh(self, keys: DataFrame) -> DataFrame:
-        """The rows of a batch whose key is in no run yet."""
-        return keys.join(self.merged(), "key", "left_anti")
-
-    def dropped(self, keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-        """The rows whose key is in at least min_docs documents and that aren't its keeper's."""
-        often = self.merged().filter(F.col("n_docs") >= min_docs).drop("n_docs")
-        return keys.join(often, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("key", "doc_id")
+        """(key, n_docs, keeper) over all runs. Runs are disjoint, so nothing is aggregated."""
+        out = self.spark.createDataFrame([], RUN)
+        for name in self.runs():
+            out = out.unionAll(self._folded(self.spark.table(name), self.updates))
+        return out
+
+    def dropped(self, keys: DataFrame, total: int, min_docs: int = MIN_DOCS) -> DataFrame:
+        """The rows, of `total`, whose key is in at least min_docs documents and that aren't its keeper's. A key that very
+        many rows share is joined by a broadcast, which has a size bound; see join_spread."""
+        often, path = stored(self.merged().filter(F.col("n_docs") >= min_docs), "lineoften")
+        self.often_path = path
+        return join_spread(keys.select("key", "doc_id"), often, "key", F.col("n_docs"), total).filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("key", "doc_id")
+
+    def close(self) -> None:
+        """Forgets and deletes all runs."""
+        for name in [*self.runs(), *self.updates]:
+            self._drop(name)
+        self.levels, self.updates = [], []
+        drop_dir(self.spark, self.path)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """docs with their texts rid of repeated lines, and n_lines and n_dropped.
 
-    The keys of all lines are written once to the shared folder, dealt into batches by doc_id; each batch is added to the
-    runs, and in the end all keys meet the merged runs. A key of at least min_chars code points in at least min_docs
+    The keys of all lines are written once to the shared folder, dealt into batches by doc_id; each batch meets the runs
+    and adds its own, and in the end all keys meet the runs. A key of at least min_chars code points in at least min_docs
     documents loses all its lines but those of its largest doc_id. Each row counts as a document; rows that repeat a doc_id
     keep or lose their lines together. A null doc_id is below all others: its lines go if a key has another holder, and
     stay if it has none. Null texts are one empty line and come back as empty texts. All other columns stay; columns
@@ -107,15 +188,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     dealt = line_keys(docs, id_col, text_col, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
     path = shared_dir(spark, "linekeys")
-    dealt.write.partitionBy("batch").parquet(path)
+    watch = Observation()
+    dealt.observe(watch, F.count("*").alias("n")).write.partitionBy("batch").parquet(path)
     keys = spark.read.schema("key binary, doc_id long, batch int").parquet(path)
     runs = LineRuns(spark, fanout=fanout)
     for i in range(batches):
         runs.add(keys.filter(F.col("batch") == i))
-    lost = runs.dropped(keys, min_docs).groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
+    lost = runs.dropped(keys, watch.get["n"], min_docs).groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
     lost, _ = stored(lost, "linedrops")
     drop_dir(spark, path)
-    drop_dir(spark, runs.path)
+    drop_dir(spark, runs.often_path)
+    runs.close()
 
     def run(batches_):
         for b in batches_:

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tempograph.llm import bpe, components, lines, media, mixing, neardup, pii, quality, sequences, sharding, urls
 from tempograph.llm.queries import vocabulary
@@ -110,13 +111,46 @@ def test_line_dedup(docs, batches, fanout):
 
 def test_line_runs_batches(spark, empty):
     assert lines.dedup_lines(empty).count() == 0
-    runs = lines.LineRuns(spark, fanout=2)
-    batch = lambda *keys: spark.createDataFrame([(k.encode(), 1) for k in keys], "key binary, doc_id long")
-    for keys in ("ab", "bc", "cd", "de", "ef"):
+    runs = lines.LineRuns(spark, fanout=2, buckets=4)
+    batch = lambda *keys: spark.createDataFrame([(k.encode(), i) for i, k in enumerate(keys)], "key binary, doc_id long")
+    names = lambda df: sorted(r.key.decode() for r in df.collect())
+    for keys in ("ab", "bc", "cd", "deb", "ef"):
+        before = {r.key for r in runs.merged().collect()}
         runs.add(batch(*keys))
+        held = [r.key for n in runs.runs() for r in spark.table(n).collect()]
+        assert len(held) == len(set(held))  # runs are disjoint, since a batch adds only what the anti-join leaves
+        assert before <= set(held)
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert sorted(r.key.decode() for r in runs.fresh(batch("a", "f", "z")).collect()) == ["z"]
-    assert {r.key.decode(): r.n_docs for r in runs.merged().collect()} == {"a": 1, "b": 2, "c": 2, "d": 2, "e": 2, "f": 1}
+    assert names(runs.known(batch("a", "f", "z"), True)) == ["z"] and names(runs.known(batch("a", "f", "z"), False)) == ["a", "f"]
+    want = {"a": (1, 0), "b": (3, 2), "c": (2, 1), "d": (2, 1), "e": (2, 1), "f": (1, 1)}
+    assert {r.key.decode(): (r.n_docs, r.keeper) for r in runs.merged().collect()} == want
+    saved = runs.saved()
+    for n in [*runs.runs(), *runs.updates]:
+        spark.sql(f"drop table {n}")
+    again = lines.LineRuns.resumed(spark, saved)
+    again.add(batch("f", "g"))
+    assert {r.key.decode(): r.n_docs for r in again.merged().collect()} == {k: n + (k == "f") for k, (n, _) in want.items()} | {"g": 1}
+    again.close()
+
+
+def test_line_results_need_the_anti_join(spark, docs, monkeypatch):
+    """Without it keys are in several runs, and counts and keepers are wrong."""
+    right = lines.LineRuns.known
+    monkeypatch.setattr(lines.LineRuns, "known", lambda self, keys, fresh: keys if fresh else right(self, keys, False).limit(0))
+    got = lines.dedup_lines(docs, batches=4, fanout=9)
+    with pytest.raises(AssertionError):
+        same(got.select("doc_id", "text", "n_lines", "n_dropped").collect(), brute_lines(awkward()))
+
+
+def test_line_batches_leave_old_runs_in_place(spark):
+    """Neither the anti-join nor the compaction shuffles a run: exchanges are of the batch alone."""
+    runs = lines.LineRuns(spark, fanout=9, buckets=4)
+    keys = spark.range(1000).selectExpr("cast(cast(id as string) as binary) as key", "id as doc_id")
+    runs.add(keys)
+    batch = keys.selectExpr("key", "doc_id + 1 as doc_id").groupBy("key").agg(F.max("doc_id").alias("keeper"))
+    plan = runs.known(batch, True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan and "LeftAnti" in plan
+    runs.close()
 
 
 # 3
