@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_of, tidy
+from .common import drop_dir, stored, text_of, tidy
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: A boundary nearer than this to a cut may change with what follows the cut: contractions have three characters.
@@ -83,6 +83,7 @@ class Codec:
         with open(ranks_path, "rb") as f:
             self.ranks = spark.sparkContext.broadcast(f.read())
         self.pattern, self.chunk, self.overlap = pattern, chunk, overlap
+        self.spark, self.folders = spark, []
 
     @property
     def size(self) -> int:
@@ -95,17 +96,21 @@ class Codec:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             enc = _encoding(ranks.value, pattern)
+            last, ids = None, None  # rows that repeat a document follow each other
             for b in batches:
                 at = 0
                 while at < b.num_rows:
                     got, size, start = [], 0, at
                     while at < b.num_rows and size < 1 << 19:
-                        got.append(enc.encode_to_numpy(b.column(3)[at].as_py(), disallowed_special=()))
-                        size += len(got[-1])
+                        text = b.column(3)[at].as_py()
+                        if text != last:
+                            last, ids = text, enc.encode_to_numpy(text, disallowed_special=())
+                        got.append(ids)
+                        size += len(ids)
                         at += 1
                     ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(ends, np.concatenate(got).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([*(b.column(i).slice(start, at - start) for i in range(3)), ids], ["row_id", "id", "piece", "ids"])
+                    lists = pa.ListArray.from_arrays(ends, np.concatenate(got).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([*(b.column(i).slice(start, at - start) for i in range(3)), lists], ["row_id", "id", "piece", "ids"])
                 tidy()
 
         return run
@@ -139,16 +144,26 @@ class Codec:
         rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
         size = F.length("text")
         short = rows.filter(size <= self.chunk).select("row_id", "id", F.lit(0).cast("long").alias("piece"), "text")
-        w = Window.partitionBy("row_id").orderBy("piece")
-        marked = self._chunks(rows.filter(size > self.chunk))
-        seams = marked.withColumn("at", F.when(F.col("piece") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("heads", F.lag("tails").over(w))))).drop("heads", "tails")
-        seams = seams.withColumn("until", F.coalesce(F.lead("at").over(w), F.col("total"))).withColumn("stitched", F.min(F.col("at").isNotNull()).over(Window.partitionBy("row_id")))
-        cut = F.expr("substring(body, cast(at - start + 1 as int), cast(until - at as int))")
-        pieces = seams.filter("stitched").select("row_id", "id", "piece", cut.alias("text"))
-        own = F.struct("piece", F.substring("body", 1, self.chunk).alias("body"))
-        whole = seams.filter("not stitched").groupBy("row_id", "id").agg(F.array_sort(F.collect_list(own)).alias("parts"))
-        whole = whole.select("row_id", "id", F.lit(0).cast("long").alias("piece"), F.array_join(F.col("parts.body"), "").alias("text"))
-        return short, pieces.unionByName(whole).repartition("row_id", "piece")
+        marked, folder = stored(self._chunks(rows.filter(size > self.chunk)), "chunks")
+        self.folders.append(folder)
+        w, whole = Window.partitionBy("row_id").orderBy("piece"), Window.partitionBy("row_id")
+        first = F.when(F.col("piece") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("heads", F.lag("tails").over(w))))
+        seams = marked.select("row_id", "piece", "start", "total", first.alias("at")).withColumn("until", F.coalesce(F.lead("at").over(w), F.col("total")))
+        lost = F.min(F.when(F.col("at").isNull(), F.col("piece"))).over(whole) - 1  # the last piece whose end isn't settled
+        seams = seams.withColumn("lost", lost).withColumn("rest", F.coalesce(F.col("piece") >= F.col("lost"), F.lit(False)))
+        start = F.when(F.col("rest") & (F.col("piece") > F.col("lost")), F.col("start")).otherwise(F.col("at"))
+        end = F.when(F.col("rest"), F.least(F.col("start") + self.chunk, F.col("total"))).otherwise(F.col("until"))
+        seams = seams.select("row_id", "piece", "lost", "rest", (start - F.col("start") + 1).cast("int").alias("from"), (end - start).cast("int").alias("n"))
+        cut = marked.select("row_id", "id", "piece", "body").join(seams.hint("merge"), ["row_id", "piece"]).withColumn("text", F.expr("substring(body, `from`, n)"))
+        pieces = cut.filter("not rest").select("row_id", "id", "piece", "text")
+        tails = cut.filter("rest").groupBy("row_id", "id", F.col("lost").alias("piece")).agg(F.array_sort(F.collect_list(F.struct("piece", "text"))).alias("parts"))
+        return short, pieces.unionByName(tails.select("row_id", "id", "piece", F.array_join(F.col("parts.text"), "").alias("text")))
+
+    def close(self) -> None:
+        """Deletes the chunks that encoding wrote. Call it when what was encoded has been written."""
+        for folder in self.folders:
+            drop_dir(self.spark, folder)
+        self.folders = []
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(row_id, id, piece, ids): the token ids of every row's text; a row's pieces follow each other in one partition.
@@ -156,8 +171,9 @@ class Codec:
         Texts of at most `chunk` characters are one piece. Longer ones are cut into overlapping chunks, which are
         pre-tokenised apart; two neighbours are stitched at the first boundary that both have in their overlap, since from
         there on their pre-tokens agree, and that follows no blank, since the pattern takes blanks at an end otherwise than
-        blanks before a word. The pieces between stitches are encoded apart. A text with an overlap without common boundary
-        (a run of letters longer than it, say) is encoded as one piece. No text is cut short. Null and empty texts give one
+        blanks before a word. The pieces between stitches are encoded apart. Where an overlap has no common boundary (in a
+        run of letters longer than it, say), the text from the stitch before it on is one piece. Chunks are pre-tokenised
+        once and kept in the shared folder. No text is cut short. Null and empty texts give one
         piece without ids. row_id tells rows of equal or null ids apart; docs must be a table that reads alike each time.
         Columns of other names are ignored.
         """
