@@ -19,6 +19,10 @@ from .common import drop_dir, shared_dir, shuffles_freed, stored, text_of
 #: Ids that no UTF-8 text has: they end a document and fill its last sequence.
 END, PAD = 255, 254
 LENGTH, SHARD_BYTES, KEY, ROUNDS = 512, 16 << 20, 0x5EED, 6
+#: Shards are dealt over at most so many tasks; beyond that a task writes a range of them, one after the other.
+MAX_WRITERS = 20_000
+SPLIT = "docs were split otherwise than when they were counted"
+MANIFEST = "shard int, file string, first_slot long, records long, crc32 long"
 #: Before the ids of each record: doc_id (the least int64 for null), number of the sequence in its document, ids in use.
 HEADER = "<qii"
 HEAD_SIZE = struct.calcsize(HEADER)
@@ -143,53 +147,58 @@ def _scatter(rows: DataFrame, bases: dict[int, tuple[int, int]], order: Permutat
                     n = len(own) // width
                     records.append(struct.pack(HEADER, NULL_ID if key is None else key, k, n) + own + fill * (length - n))
                 if at + len(records) > end:
-                    raise RuntimeError("docs were split otherwise than when they were counted")
+                    raise RuntimeError(SPLIT)
                 if len(records) * stride > 8 << 20:
                     yield parts()
         if records:
             yield parts()
         if at != end:
-            raise RuntimeError("docs were split otherwise than when they were counted")
+            raise RuntimeError(SPLIT)
 
     return rows.select("id", "ids").mapInArrow(run, "shard int, part binary")
 
 
 def _write(parts: DataFrame, path: str, total: int, per_shard: int, stride: int) -> DataFrame:
-    """(shard, file, first_slot, records, crc32) of each shard written."""
+    """(shard, file, first_slot, records, crc32) of each shard written. A task's parts come sorted by shard, so one shard at
+    a time is in its buffer."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         import zstandard
 
         unpack, room, filled, shard = zstandard.ZstdDecompressor(), None, 0, None
+        store, folder = _filesystem(path)
+        store.create_dir(folder, recursive=True)
+
+        def flushed():
+            if filled != len(room):
+                raise RuntimeError(f"shard {shard} got {filled} of {len(room)} records")
+            name, draft = f"{folder}/shard-{shard:06d}.bin", f"{folder}/.draft-{shard:06d}-{uuid.uuid4().hex}"
+            with store.open_output_stream(draft) as f:  # whole or not at all, whichever attempt of the task comes last
+                f.write(memoryview(room).cast("B"))
+            store.move(draft, name)
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name.rpartition("/")[2]], "first_slot": [shard * per_shard], "records": [len(room)], "crc32": [zlib.crc32(room)]})
+
         for b in batches:
             for s, part in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if room is None:
-                    shard, here = s, min(per_shard, total - s * per_shard)
-                    room = np.zeros((here, stride), np.uint8)
                 if s != shard:
-                    raise RuntimeError("two shards in one task")
+                    if room is not None:
+                        yield flushed()
+                    shard, filled = s, 0
+                    room = np.zeros((min(per_shard, total - s * per_shard), stride), np.uint8)
                 raw = unpack.decompress(part.as_py())
                 n = len(raw) // (stride + 4)
                 room[np.frombuffer(raw, "<u4", n)] = np.frombuffer(raw, np.uint8, offset=4 * n).reshape(n, stride)
                 filled += n
-        if room is None:
-            return
-        if filled != len(room):
-            raise RuntimeError(f"shard {shard} got {filled} of {len(room)} records")
-        store, folder = _filesystem(path)
-        store.create_dir(folder, recursive=True)
-        name, draft = f"{folder}/shard-{shard:06d}.bin", f"{folder}/.draft-{shard:06d}-{uuid.uuid4().hex}"
-        with store.open_output_stream(draft) as f:  # whole or not at all, whichever attempt of the task comes last
-            f.write(memoryview(room).cast("B"))
-        store.move(draft, name)
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name.rpartition("/")[2]], "first_slot": [shard * per_shard], "records": [len(room)], "crc32": [zlib.crc32(room)]})
+        if room is not None:
+            yield flushed()
 
-    return parts.mapInArrow(run, "shard int, file string, first_slot long, records long, crc32 long")
+    return parts.mapInArrow(run, MANIFEST)
 
 
 def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, key: int = KEY, path: str | None = None, codec: Codec | None = None) -> tuple[DataFrame, str, Permutation]:
     """Writes all texts in training order, as the codec's token ids or, without one, as ids of their UTF-8 bytes; returns
-    (manifest, folder, permutation).
+    (manifest, folder, permutation). The folder is a new one below `path`, else below the shared folder, and nothing else
+    is ever deleted.
 
     A text's ids and an end are cut into sequences of `length`, the last one filled (form_of tells with what); null and
     empty texts are an end alone. Texts are encoded once: their ids are kept in the shared folder until the shards are
@@ -198,10 +207,11 @@ def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sequence its slot, and slots are cut into shards of equal records, so record r of shard s is at byte r * stride, and
     slot and document are computed from each other. The table must be split alike in both passes, as a stored one is;
     where a pass finds otherwise, it is written to the shared folder, and both are run again on that. A shard is assembled
-    in a buffer of shard_bytes, and its file is moved into place when whole.
+    in a buffer of shard_bytes, and its file is moved into place when whole. Rows that repeat an id have sequences of their
+    own each; other columns are ignored; a very long text is as many sequences as it fills.
     """
     spark, form, kept = docs.sparkSession, form_of(codec), []
-    path = path or shared_dir(spark, "sequences")
+    path = f"{path.rstrip('/')}/sequences-{uuid.uuid4().hex[:12]}" if path else shared_dir(spark, "sequences")
     stride = HEAD_SIZE + length * form.width
     per_shard = max(1, shard_bytes // stride)
 
@@ -217,6 +227,7 @@ def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         else:
             with shuffles_freed(spark):
                 rows = keep(codec.encode_packed(form.dtype, docs, id_col, text_col))
+            codec.close()
         for last in (False, True):
             counts = sorted((r[0], r[1]) for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(counted(F.col("n"), length))).collect())
             bases, total = {}, 0
@@ -226,26 +237,26 @@ def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             order = Permutation(total, key)
             shards = -(-total // per_shard)
             if not total:
-                return spark.createDataFrame([], "shard int, file string, first_slot long, records long, crc32 long"), path, order
-            parts = _scatter(rows, bases, order, per_shard, length, form).repartitionById(shards, F.col("shard"))
-            manifest = f"{path}/manifest"
+                return spark.createDataFrame([], MANIFEST), path, order
+            writers, manifest = min(shards, MAX_WRITERS), f"{path}/manifest"
+            parts = _scatter(rows, bases, order, per_shard, length, form).repartitionById(writers, F.expr(f"cast(cast(shard as bigint) * {writers} div {shards} as int)")).sortWithinPartitions("shard")
             try:
                 _write(parts, path, total, per_shard, stride).write.mode("overwrite").parquet(manifest)
                 break
-            except Exception:
+            except Exception as e:
                 drop_dir(spark, path)
-                if last:
+                if last or SPLIT not in str(e):
                     raise
                 rows = keep(rows)
     finally:
         for folder in kept:
             drop_dir(spark, folder)
-    return spark.read.parquet(manifest), path, order
+    return spark.read.schema(MANIFEST).parquet(manifest), path, order
 
 
 def read_sequences(spark: SparkSession, manifest: DataFrame, path: str, length: int = LENGTH, from_slot: int = 0, codec: Codec | None = None) -> DataFrame:
     """(slot, shard, record, doc_id, sequence, n_ids, ids) from a slot on: each shard is read from there to its end, in
-    blocks, from the place that its stride gives. ids are the bytes of the ids without padding; codec as for materialise."""
+    blocks, from the place that its stride gives, by a task of its own (up to MAX_WRITERS). ids are the bytes of the ids without padding; codec as for materialise."""
     width = form_of(codec).width
     stride = HEAD_SIZE + length * width
     schema = "slot long, shard int, record long, doc_id long, sequence int, n_ids int, ids binary"
@@ -270,4 +281,7 @@ def read_sequences(spark: SparkSession, manifest: DataFrame, path: str, length:
                         skip += n
 
     wanted = manifest.filter(F.col("first_slot") + F.col("records") > from_slot).select("shard", "file", "first_slot", "records")
-    return wanted.repartition(F.col("shard")).mapInArrow(run, schema)
+    first, n = wanted.agg(F.coalesce(F.min("shard"), F.lit(0)), F.count("*")).first()
+    tasks = max(1, min(n, MAX_WRITERS))
+    # An explicit number of tasks is one that adaptive execution doesn't lower, small as the manifest is.
+    return wanted.repartitionById(tasks, F.expr(f"cast(cast(shard - {first} as bigint) * {tasks} div {max(n, 1)} as int)")).mapInArrow(run, schema)

@@ -245,6 +245,38 @@ def test_sequences_of_token_ids(spark, docs, empty):
     assert order.n == 0 and sequences.read_sequences(spark, manifest, path, codec=codec).count() == 0
 
 
+def test_slots_are_the_permutation_of_places(spark):
+    """Record by record: sequences are numbered along the partitions, and the permutation gives each number its slot."""
+    rows = [(i, "w" * (i % 150)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).sortWithinPartitions("doc_id")
+    manifest, path, order = sequences.materialise(docs, length=64, shard_bytes=2048)
+    numbered = [(i, k) for i, t in rows for k in range((len(t) + 1 + 63) // 64)]
+    assert order.n == len(numbered)
+    want = dict(zip(order.slot(np.arange(order.n)).tolist(), numbered, strict=True))
+    read = sequences.read_sequences(spark, manifest, path, length=64)
+    assert {r.slot: (r.doc_id, r.sequence) for r in read.collect()} == want
+    per_shard = 2048 // (sequences.HEAD_SIZE + 64)
+    assert all(r.slot == r.shard * per_shard + r.record for r in read.collect())
+    assert read.select(F.spark_partition_id()).distinct().count() == manifest.count() == -(-order.n // per_shard)
+
+
+def test_writers_take_ranges_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "MAX_WRITERS", 3)
+    docs = spark.range(500).selectExpr("id as doc_id", "repeat('a', cast(id as int)) as text")
+    manifest, path, order = sequences.materialise(docs, length=64, shard_bytes=2048)
+    got = sequences.read_sequences(spark, manifest, path, length=64).collect()
+    assert manifest.count() > 10 and sorted(r.slot for r in got) == list(range(order.n)) and len({r.doc_id for r in got}) == 500
+
+
+def test_sequences_spare_the_callers_folder(spark, tmp_path):
+    (tmp_path / "mine").write_text("keep")
+    bad = spark.range(10).selectExpr("id as doc_id", "if(id = 7, raise_error('broken'), 'x') as text")
+    with pytest.raises(Exception, match="broken"):
+        sequences.materialise(bad, path=str(tmp_path))
+    _, path, _ = sequences.materialise(spark.range(5).selectExpr("id as doc_id", "'x' as text", "'clash' as ids", "'clash' as shard"), path=str(tmp_path))
+    assert (tmp_path / "mine").read_text() == "keep" and path.startswith(f"{tmp_path}/sequences-")
+
+
 # 5
 
 
@@ -449,12 +481,12 @@ def reference_codec():
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-TEXTS = [None, "", "a", "it's  a   test\n\n\tof <|endoftext|> pieces'll 're", "é漢字🙂 " * 200, "x" * 900, " " * 900 + "y", prose(900, 3), "a'" * 300, "\x1c\x1d\x85   z" * 90, "12345 67'll've " * 120, ("word " * 50 + "\n" * 30) * 20]
+TEXTS = [None, "", prose(700, 4) + " " + "q" * 3000 + " " + prose(700, 5), "a", "it's  a   test\n\n\tof <|endoftext|> pieces'll 're", "é漢字🙂 " * 200, "x" * 900, " " * 900 + "y", prose(900, 3), "a'" * 300, "\x1c\x1d\x85   z" * 90, "12345 67'll've " * 120, ("word " * 50 + "\n" * 30) * 20]
 
 
 @pytest.mark.parametrize("chunk,overlap", [(64, 16), (200, 64), (32768, 1024)])
 def test_bpe_equals_the_whole_text(spark, chunk, overlap):
-    rows = [*enumerate(TEXTS), (3, TEXTS[3]), (None, "no id " * 60)]
+    rows = [*enumerate(TEXTS), (4, TEXTS[4]), (None, "no id " * 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     codec, enc = bpe.Codec(spark, *vocabulary(), chunk, overlap), reference_codec()
     encoded = codec.encode(docs)
