@@ -12,8 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import HOT_KEYS, stored
+
 #: Payload bytes are the samples of a grey image 24 wide, so a payload is a multiple of 24 * 24.
 UNIT, WIDTH, FILL = 576, 24, 255
+#: Parts in which the items of a digest that very many share are joined.
+SALTS = 32
 ITEM = "struct<position:int, kind:string, text:string, ref:string, caption:string>"
 MEDIA = "digest string, media binary, n_bytes long"
 FEATURES = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -158,14 +162,30 @@ def resolved(seqs: DataFrame, media: DataFrame, *columns: str, prefix: str = "me
     """(id, position, kind, text, ref, caption, found, *columns): the items of all sequences in their positions, with
     columns of the medium that a reference of the form prefix + digest names.
 
-    Items keep their order, number and captions: texts and references to nothing stay, with found false. media may
-    repeat a digest; one row of each is taken (equal digests mean equal payloads). Only the columns asked for are moved,
-    so payloads travel only if wanted. A digest that very many items share is split by Spark's skew join, as its side of
-    the join has one row.
+    Items keep their order, number and captions: texts and references to nothing stay, with found false; a page without
+    items is one row of nulls. media may repeat a digest; one row of each is taken (equal digests mean equal payloads). Only
+    the columns asked for are moved, so payloads travel only if wanted. Media that very many items share are joined in
+    SALTS parts: digests with a HOT_KEYS-th of all references (so many at most, whatever the size) have a row in each, and
+    their items are dealt over them; so no task has all items of a digest. Columns of media called like an item's are
+    refused.
     """
-    items = seqs.select("id", F.explode_outer("items").alias("i")).select("id", "i.*").withColumn("digest", F.when(F.col("ref").startswith(prefix), F.substring("ref", len(prefix) + 1, 1 << 20)))
-    one = media.groupBy(F.col(key).alias("digest")).agg(F.lit(True).alias("found"), *(F.first(c).alias(c) for c in columns))
-    return items.join(one, "digest", "left").withColumn("found", F.coalesce("found", F.lit(False))).drop("digest")
+    taken = {"id", "position", "kind", "text", "ref", "caption", "found"} & set(columns)
+    if taken:
+        raise ValueError(f"columns of items: {sorted(taken)}")
+    items = seqs.select("id", F.explode_outer("items").alias("i")).select("id", "i.*").withColumn("__digest", F.when(F.col("ref").startswith(prefix), F.substring("ref", len(prefix) + 1, 1 << 20)))
+    items, _ = stored(items, "items")
+    named = items.filter("__digest is not null")
+    total = named.count()
+    often = [r[0] for r in named.groupBy("__digest").count().filter(F.col("count") * HOT_KEYS >= max(total, HOT_KEYS * SALTS)).collect()]  # at most HOT_KEYS digests
+    one = media.groupBy(F.col(key).alias("__digest")).agg(F.lit(True).alias("found"), *(F.first(c).alias(c) for c in columns))
+    salt = F.lit(0)
+    if often:
+        one = one.withColumn("__salt", F.explode(F.when(F.col("__digest").isin(often), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        salt = F.when(F.col("__digest").isin(often), F.pmod(F.xxhash64("id", "position"), F.lit(SALTS)).cast("int")).otherwise(0)
+    else:
+        one = one.withColumn("__salt", F.lit(0))
+    joined = items.withColumn("__salt", salt).join(one, ["__digest", "__salt"], "left")
+    return joined.withColumn("found", F.coalesce("found", F.lit(False))).drop("__digest", "__salt")
 
 
 def document_page(digest: Column, doc_id: Column) -> Column:
