@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, lines, media, mixing, neardup, pii, quality, sequences, sharding, urls
-from .common import text_of
+from .common import stored, text_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,11 @@ def vocabulary() -> tuple[str, str]:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a page with one figure, whose reference is resolved to what its stored bytes hold."""
+    """Each document as a page with one figure, whose reference is resolved to what its stored bytes hold: the media are
+    written to the shared folder, and features are computed from what is read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text_of("text").cast("binary").alias("data"))
-    stored_media = media.media_features(media.media_table(docs))
+    written, _ = stored(media.media_table(docs), "media", compression="zstd")
+    stored_media = media.media_features(written)
     fill = (media.UNIT - F.octet_length("data") % media.UNIT) % media.UNIT + F.when(F.octet_length("data") == 0, media.UNIT).otherwise(0)
     digest = F.sha2(F.concat("data", F.unhex(F.repeat(F.lit("FF"), fill.cast("int")))), 256)
     pages = docs.select("doc_id", media.document_page(digest, F.col("doc_id")).alias("html"))
@@ -60,9 +62,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two passes' worth of tokens at most over any source. Tokens are counted by runs of letters, digits and other signs."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    plan = mixing.mix_plan(docs)
-    return mixing.mix(docs, plan).select("doc_id", "source", F.octet_length(text_of("text")).cast("long").alias("n_tokens"), "weight", "block", "order_key")
+    sized = docs.select("doc_id", "source", mixing.pre_tokens().alias("n_tokens"))
+    plan = mixing.mix_plan(sized, tokens=F.col("n_tokens"))
+    return mixing.mix(sized, plan).select("doc_id", "source", "n_tokens", "weight", "block", "order_key")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
