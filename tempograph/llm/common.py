@@ -36,6 +36,20 @@ def join_spread(rows: DataFrame, table: DataFrame, key: str, n: Column, total: i
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 
 
+def join_salted(rows: DataFrame, table: DataFrame, key: str, deal: Column, salts: int = 32) -> DataFrame:
+    """rows joined with a table of one row for each key, which may be large ones. Keys with a share of 1 / HOT_KEYS of the
+    rows or more, at most HOT_KEYS whatever the size, have `salts` copies of their row, and their rows are dealt over these
+    by `deal`. rows are read twice, so they are best a stored table."""
+    counts = rows.groupBy(key).count()
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    often = [bytes(r[0]) if isinstance(r[0], bytearray) else r[0] for r in counts.filter(F.col("count") * HOT_KEYS >= max(total, HOT_KEYS * salts)).select(key).collect()]
+    if not often:
+        return rows.join(table, key)
+    hot = F.col(key).isin(often)
+    copies = table.withColumn("__salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return rows.withColumn("__salt", F.when(hot, F.pmod(deal, F.lit(salts)).cast("int")).otherwise(0)).join(copies, [key, "__salt"]).drop("__salt")
+
+
 def tidy() -> None:
     """Gives back what a worker has freed. Workers are kept for later stages, and without this each keeps the most it ever
     used, in Arrow's pool and in malloc's."""
@@ -45,4 +59,4 @@ def tidy() -> None:
         trim(0)
 
 
-__all__ = ["BLANKS", "BLANK_BYTES", "HOT_KEYS", "drop_dir", "join_spread", "shared_dir", "shuffles_freed", "stored", "stored_seen", "text_of", "tidy"]
+__all__ = ["BLANKS", "BLANK_BYTES", "HOT_KEYS", "drop_dir", "join_salted", "join_spread", "shared_dir", "shuffles_freed", "stored", "stored_seen", "text_of", "tidy"]

@@ -341,6 +341,30 @@ def test_dart_signatures_estimate_weighted_similarity():
     assert (s[0] == s[1]).mean() == pytest.approx(true, abs=0.05)
 
 
+def test_dart_signatures_of_real_weights():
+    """Weights below and above 1, equal and not: coordinates agree as often as the weighted index says."""
+    r = np.random.default_rng(4)
+    element = r.integers(1, 1 << 62, 60).astype(np.uint64)
+    a, b = r.uniform(0.05, 3, 60), r.uniform(0.05, 3, 60)
+    a[:20] = b[:20]
+    b[0] = a[0] = 700.5
+    doc = np.repeat([0, 1], 60)
+    s = neardup.dart_signatures(doc, np.r_[element, element], 2, k=2048, weight=np.r_[a, b])
+    assert (s[0] == s[1]).mean() == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.04)
+    b[0] = 100.0
+    s = neardup.dart_signatures(doc, np.r_[element, element], 2, k=2048, weight=np.r_[a, b])
+    assert (s[0] == s[1]).mean() == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.04)
+
+
+def test_links_through_texts_without_id(spark):
+    base = prose(200, 31).split()
+    middle, end = " ".join([*base[:190], *(f"m{i}" for i in range(10))]), " ".join([*base[:180], *(f"m{i}" for i in range(20))])
+    rows = [(1, " ".join(base)), (None, middle), (2, end), (3, prose(50, 2))]
+    assert weighted(shingles(rows[0][1]), shingles(middle)) >= 0.8 <= weighted(shingles(middle), shingles(end)) and weighted(shingles(rows[0][1]), shingles(end)) < 0.85
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {1: 1, None: 1, 2: 1, 3: 3}
+
+
 # 6
 
 
