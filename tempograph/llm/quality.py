@@ -7,16 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import HOT_KEYS, join_spread, stored, stored_seen
 
 GAP = r"[\x20\x09-\x0D]+"
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT, MAX_HOST_RATE = 10, 5, 20, 0.5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: A rule's name and what fails it.
+#: A rule's name and what fails it. A document goes by the first two; all tell of its host.
 RULES = {
     "few_words": f"n_words < {MIN_WORDS}",
     "repeats": f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "dup_lines": "10 * n_dup_lines > n_words",
+    "word_length": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)",
 }
+#: Plans of verdicts of at most so many hosts, which are counted, are broadcast.
+BROADCAST_HOSTS = 10_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,22 +64,34 @@ def measures(text: Column, window: int = WINDOW) -> Column:
 
 
 def host_table(features: DataFrame, host_col: str = "host", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """(host, n_docs, n_failed, <rule>_failed, rate, host_kept): each host's failures, and its failure rate shrunk
-    towards the mean of all hosts by a beta prior whose strength is estimated from how hosts differ (moments of the
-    beta-binomial). A host is kept unless its shrunken rate is above max_rate. Rows without host form none.
+    """(host, n_docs, n_failed, rate, <rule>_failed, <rule>_rate, host_rule, host_kept): each host's failures of the base
+    rules together and of every rule, and their rates shrunk towards the mean of all hosts by beta priors, whose strengths
+    are estimated from how hosts differ in that rule (moments of the beta-binomial). A host is kept unless one of its
+    shrunken rates is above max_rate; host_rule names the worst then ("base" for both base rules together). Rows without
+    host form none.
     """
     counts = {f"{name}_failed": F.count_if(F.expr(rule)) for name, rule in RULES.items()}
     hosts = features.filter(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host")).agg(F.count("*").alias("n_docs"), F.count_if("base_failed").alias("n_failed"), *(c.alias(n) for n, c in counts.items()))
     hosts, _ = stored(hosts, "hosts")
-    alpha, beta = beta_prior(hosts)
-    rate = (F.col("n_failed") + alpha) / (F.col("n_docs") + alpha + beta)
-    return hosts.withColumn("rate", rate).withColumn("host_kept", F.col("rate") <= max_rate)
+    rates = {"base": ("n_failed", "rate")} | {name: (f"{name}_failed", f"{name}_rate") for name in RULES}
+    priors = beta_priors(hosts, [f for f, _ in rates.values()])
+    out = hosts
+    for failed, rate in rates.values():
+        alpha, beta = priors[failed]
+        out = out.withColumn(rate, (F.col(failed) + alpha) / (F.col("n_docs") + alpha + beta))
+    worst = F.greatest(*(F.struct(F.col(rate).alias("rate"), F.lit(name).alias("rule")) for name, (_, rate) in rates.items()))
+    return out.withColumn("host_rule", F.when(worst["rate"] > max_rate, worst["rule"])).withColumn("host_kept", worst["rate"] <= max_rate)
 
 
-def beta_prior(hosts: DataFrame) -> tuple[float, float]:
-    """alpha and beta from one row of sums over (n_docs, n_failed). A weak prior where there is nothing to estimate."""
-    s = hosts.agg(F.count("*"), F.sum("n_docs"), F.sum("n_failed"), F.sum(F.col("n_failed").cast("double") * F.col("n_failed") / F.col("n_docs")), F.sum(F.col("n_docs").cast("double") * F.col("n_docs"))).first()
-    h, n, f, per, square = s[0], s[1] or 0, s[2] or 0, s[3] or 0.0, s[4] or 0.0
+def beta_priors(hosts: DataFrame, failed: list[str]) -> dict[str, tuple[float, float]]:
+    """alpha and beta of each count of failures, from one row of sums over (n_docs, failures). A weak prior where there is
+    nothing to estimate."""
+    sums = [x for c in failed for x in (F.sum(c).alias(f"f_{c}"), F.sum(F.col(c).cast("double") * F.col(c) / F.col("n_docs")).alias(f"p_{c}"))]
+    s = hosts.agg(F.count("*").alias("h"), F.sum("n_docs").alias("n"), F.sum(F.col("n_docs").cast("double") * F.col("n_docs")).alias("sq"), *sums).first()
+    return {c: _beta(s["h"], s["n"] or 0, s["sq"] or 0.0, s[f"f_{c}"] or 0, s[f"p_{c}"] or 0.0) for c in failed}
+
+
+def _beta(h: int, n: int, square: float, f: int, per: float) -> tuple[float, float]:
     if not n:
         return 1.0, 1.0
     mean = (f + 0.5) / (n + 1)
@@ -85,22 +102,38 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """(doc_id, the measures, base_failed, kept, host, host_rate): one row for each row of docs.
+    """(doc_id, the measures, base_failed, kept, host, host_rate, host_rule): one row for each row of docs.
 
     kept is false where a base rule fails or the host isn't kept; documents without host are judged by the base rules
-    alone. The measures are written once (no texts), and hosts, one row each, are joined to them.
+    alone. Each row is judged by itself, rows that repeat an id or a text too; null and empty texts fail; a very long text
+    is measured whole, in its own row. Other columns are ignored. The measures are written once (no texts), and hosts, one
+    row each, are joined to them: all by a broadcast if they are few, counted; else those with a HOT_KEYS-th of all rows.
     """
     features = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), measures(F.col(text_col)).alias("m")).select("doc_id", "host", "m.*")
     features, _ = stored(features, "quality")
-    verdicts = host_table(features, max_rate=max_rate).select("host", F.col("rate").alias("host_rate"), "host_kept")
-    joined = features.join(verdicts, "host", "left")
-    return joined.select("doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"), "host", "host_rate")
+    hosts, _, seen = stored_seen(host_table(features, max_rate=max_rate), "verdicts", n=F.count("*"), rows=F.sum("n_docs"))
+    verdicts = hosts.select("host", "n_docs", F.col("rate").alias("host_rate"), "host_rule", "host_kept")
+    if seen["n"] <= BROADCAST_HOSTS:
+        joined = features.join(F.broadcast(verdicts), "host", "left")
+    else:
+        none = features.filter("host is null")
+        joined = join_spread(features.filter("host is not null"), verdicts, "host", F.col("n_docs"), seen["rows"]).unionByName(none, allowMissingColumns=True)
+    return joined.select("doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"), "host", "host_rate", "host_rule")
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of docs that the rules and their host's verdict keep. Texts are measured twice, for the hosts' rates and
-    for the filter, which costs less than moving them; only the rejected hosts are joined, in an anti join."""
-    features, _ = stored(docs.select(F.col(host_col).cast("string").alias("host"), measures(F.col(text_col)).alias("m")).select("host", "m.*"), "quality")
-    bad = host_table(features, max_rate=max_rate).filter(~F.col("host_kept")).select(F.col("host").alias("__host"))
-    kept = docs.filter(~measures(F.col(text_col))["base_failed"])
-    return kept.join(bad, F.col(host_col).cast("string") == F.col("__host"), "left_anti")
+    """The rows of docs that the rules and their host's verdict keep, with their columns as they are, whatever their names.
+    Texts are measured once: rows that pass are written with a mark of their host, and what hosts need of all rows beside
+    them. Of the rejected hosts, those with a HOT_KEYS-th of all rows are broadcast, and the others too if they are few."""
+    host = F.col(host_col).cast("string")
+    marked, _ = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), host.alias("host"), measures(F.col(text_col)).alias("m")).select(F.when(~F.col("m.base_failed"), F.col("row")).alias("row"), "host", "m.*"), "measured")
+    hosts, _, seen = stored_seen(host_table(marked.drop("row"), max_rate=max_rate).filter(~F.col("host_kept")).select("host", "n_docs"), "rejected", n=F.count("*"))
+    kept = marked.filter("not base_failed").select("row", "host")
+    if seen["n"]:
+        total = marked.count()
+        few = seen["n"] <= BROADCAST_HOSTS
+        hot, cold = (hosts, None) if few else (hosts.filter(F.col("n_docs") * HOT_KEYS >= total), hosts.filter(F.col("n_docs") * HOT_KEYS < total))
+        kept = kept.join(F.broadcast(hot.select("host")), "host", "left_anti")
+        if cold is not None:
+            kept = kept.join(cold.select("host").hint("merge"), "host", "left_anti")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

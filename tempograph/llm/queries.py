@@ -58,7 +58,7 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge_quality(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", *quality.MEASURES, "base_failed", "kept", F.col("host").alias("source"), F.round("host_rate", 6).alias("host_rate"))
+    return out.select("doc_id", *quality.MEASURES, "base_failed", "kept", F.col("host").alias("source"), F.round("host_rate", 6).alias("host_rate"), "host_rule")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,14 +134,16 @@ with d as (
     cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words
   from d left join c using (doc_id)
 ), b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m
-), hosts as (select source, count(*) as n, cast(sum(base_failed::int) as double) as f from b where source is not null group by source
-), s as (select count(*) as h, sum(n) as n, sum(f) as f, sum(f * f / n) as per, sum(n * n) as sq from hosts
+), hosts as (select source, count(*) as n, cast(sum(base_failed::int) as double) as base, {sums} from b where source is not null group by source
+), u as ({unpivot}
+), s as (select rule, count(*) as h, sum(n) as n, sum(f) as f, sum(f * f / n) as per, sum(n * n) as sq from u group by rule
 ), e as (select *, (f + 0.5) / (n + 1) as mean, n - sq / n - (h - 1) as rest from s
-), p as (select mean, least(greatest(case when rest > 0 then ((per - f * f / n) / (mean * (1 - mean)) - (h - 1)) / rest else 0.5 end, 1e-4), 0.5) as rho from e
-), v as (select source, (f + mean * (1 / rho - 1)) / (n + 1 / rho - 1) as rate from hosts, p)
-"""
+), p as (select rule, mean, least(greatest(case when rest > 0 then ((per - f * f / n) / (mean * (1 - mean)) - (h - 1)) / rest else 0.5 end, 1e-4), 0.5) as rho from e
+), r as (select source, rule, (f + mean * (1 / rho - 1)) / (n + 1 / rho - 1) as rate from u join p using (rule)
+), v as (select source, max(rate) filter (where rule = 'base') as rate, max(rate) as worst, max_by(rule, (rate, rule)) as worst_rule from r group by source)
+""".format(sums=", ".join(f"cast(sum(({rule})::int) as double) as {name}" for name, rule in quality.RULES.items()), unpivot=" union all ".join(f"select source, n, '{name}' as rule, {name} as f from hosts" for name in ("base", *quality.RULES)))
 OP6_SQL = OP6_MEASURES + """
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(rate <= 0.5, true) as kept, source, round(rate, 6) as host_rate
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(worst <= 0.5, true) as kept, source, round(rate, 6) as host_rate, case when worst > 0.5 then worst_rule end as host_rule
 from b left join v using (source)
 """
 

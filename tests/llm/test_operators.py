@@ -189,6 +189,22 @@ def test_relative_links_join_pages(spark):
         assert u == urljoin(b, t), (b, t)
 
 
+def test_redirects_spread_verdicts(spark):
+    """Redirects chain pages with urls that are no page; the longest rule wins, and a block of two equally long ones."""
+    pages = [(1, "http://a.com/1", None, "x"), (1, "http://a.com/1", None, "x"), (2, "http://b.com/2?q=1", None, "x"), (3, "http://c.com/3", None, "x"), (4, "http://c.com/3#part", None, "x"), (5, "http://EXAMPLE.com/de/x", None, "x"), (6, None, None, "x"), (7, "http://d.com/" + "y" * 100_000, "<p>" * 50_000, "x"), (8, "http://e.com/8", None, "x")]
+    hops = [("http://a.com/1", "http://mid.com/m"), ("http://mid.com/m", "http://b.com/2?q=1"), ("http://b.com/2?q=1", "http://bad.net/"), ("http://c.com/3", "http://x.org/fr/"), ("http://c.com/3", "http://bad.net/z"), (None, "http://a.com/1"), ("http://e.com/8", "http://e.com/8"), ("http://a.com/1", "http://mid.com/m")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string, verdict string")
+    redirects = spark.createDataFrame(hops, "src string, dst string")
+    got = urls.judge_urls(table, redirects=redirects).collect()
+    by = {r.page_id: (r.rule, r.verdict, r.n_aliases) for r in got}
+    assert len(got) == len(pages) and by[1] == by[2] == (None, "block", 4)
+    assert by[3] == by[4] == (None, "allow", 3)  # blocked by one alias, allowed by another: allow goes first
+    assert by[5] == ("example.com/de/", "block", 1) and by[6] == by[7] == by[8] == (None, "allow", 1)
+    rules = [("allow", "e.com", "/"), ("block", "e.com", "/"), ("allow", "e.com", "/8")]
+    one = lambda r: {x.page_id: (x.rule, x.verdict) for x in urls.judge_urls(table, rules=r).collect()}
+    assert one(rules)[8] == ("e.com/8", "allow") and one(rules[:2])[8] == ("e.com/", "block")
+
+
 def test_components_match_union_find(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5), (None, 3)]
@@ -381,18 +397,35 @@ def test_quality_measures(spark, docs, empty):
     every = docs.unionAll(spark.createDataFrame(extra, DOCS))
     got = quality.judge_quality(every).collect()
     same([(r.doc_id, *(r[m] for m in quality.MEASURES), r.base_failed) for r in got], [(r[0], *(x := brute_quality(r[1]))[:5], x[5]) for r in awkward() + extra])
-    assert all(r.kept != r.base_failed or not r.kept for r in got)
+    assert all(r.kept == (not r.base_failed and r.host_rule is None) for r in got) and any(r.kept for r in got)
     kept = quality.filter_quality(every)
     assert kept.columns == every.columns and kept.count() == sum(r.kept for r in got)
     assert quality.judge_quality(empty).count() == 0 and quality.filter_quality(empty).count() == 0
 
 
 def test_hosts_shrink_and_fall(spark):
-    rows = [(h, h == "bad" or (h == "one" and i == 0) or i % 20 == 0) for h, n in (("bad", 300), ("good", 300), ("fine", 200), ("one", 1)) for i in range(n)]
-    f = spark.createDataFrame(rows, "host string, base_failed boolean").selectExpr("*", "case when base_failed then 1 else 50 end as n_words", "0 as n_repeat_words")
-    got = {r.host: r for r in quality.host_table(f).collect()}
-    assert not got["bad"].host_kept and got["good"].host_kept and got["one"].n_failed == 1
+    rows = [(h, h == "bad" or (h == "one" and i == 0) or i % 20 == 0, 9 if h == "signs" else 0) for h, n in (("bad", 300), ("good", 300), ("fine", 200), ("signs", 100), ("one", 1)) for i in range(n)]
+    f = spark.createDataFrame(rows, "host string, base_failed boolean, n_symbols long").selectExpr("*", "case when base_failed then 1 else 50 end as n_words", "0 as n_repeat_words", "0 as n_dup_lines", "250 as word_chars")
+    got = {r.host: r for r in quality.host_table(f.withColumn("word_chars", F.col("n_words") * 5)).collect()}
+    assert not got["bad"].host_kept and got["good"].host_kept and got["one"].n_failed == 1 and got["bad"].host_rule == "few_words"
     assert 0.05 < got["one"].rate < 1 and abs(got["good"].rate - 0.05) < 0.03
+    assert got["signs"].host_rule == "symbols" and got["signs"].rate < 0.1 and not got["signs"].host_kept
+
+
+def test_host_verdicts_come_back_to_documents(spark, monkeypatch):
+    """Documents that pass go with a host of which most fail, whether hosts are few or many, and those without host stay."""
+    good = prose(40, 1)
+    rows = [(i, "too short" if i % 4 else f"{good} {i}", "bad", "row") for i in range(80)] + [(100 + i, "too short" if i % 10 == 0 else f"{good} {i}", "good", "row") for i in range(80)] + [(200, good, None, "row"), (201, None, "good", "row")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, host string").withColumn("row", F.lit("clash"))
+    want = {i for i, t, s, _ in rows if t and t != "too short" and s != "bad"}
+    for most in (10_000, 0):
+        monkeypatch.setattr(quality, "BROADCAST_HOSTS", most)
+        got = quality.judge_quality(docs).collect()
+        assert len(got) == len(rows) and {r.doc_id for r in got if r.kept} == want
+        assert {r.host_rule for r in got if r.host == "bad"} == {"few_words"} and {r.host_rule for r in got if r.host != "bad"} == {None}
+        kept = quality.filter_quality(docs)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want
+    same([(r.doc_id, r.text, r.source, r.host, r.row) for r in kept.collect()], [(*r, "clash") for r in rows if r[0] in want])
 
 
 # 7
