@@ -10,7 +10,7 @@ import pytest
 
 from tempograph.llm.common import stored
 
-from .test_operators import brute_lines, brute_quality, reference_codec, shingles, weighted
+from .test_operators import awkward, brute_lines, brute_quality, reference_codec, shingles, weighted
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +70,22 @@ def test_tokens(spark, steps):
     want = [(r.doc_id, len(ids := enc.encode_ordinary(r.text)), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()) for r in before]
     assert sorted(map(tuple, after)) == sorted(want)
     assert sorted(map(tuple, P.run(spark, SF).collect())) == sorted(want)
+
+
+def test_stages_take_awkward_rows(spark):
+    """Nulls, empty and long texts, repeated rows and ids, columns that clash; and no rows at all."""
+    clash = "doc_id long, text string, source string, n_lines string, cut string, row string, host string, id string"
+    rows = [(i, t, s, "a", "b", "c", "d", "e") for i, t, s, *_ in awkward()]
+    docs = spark.createDataFrame(rows, clash).selectExpr("*", "'en' as lang", "cast(length(text) as long) as n_chars")
+    for table in (docs, docs.limit(0)):
+        for name, f in P.STAGES:
+            out, _ = stored(f(spark, table, SF), name)
+            got = out.collect()
+            if name != "bpe_encode":
+                lost = {"n_lines"} if name == "line_dedup" else set()
+                assert out.columns == [c for c in table.columns if c not in lost], name
+                assert {r.cut for r in got} <= {"b"} and {r.id for r in got} <= {"e"}
+            if name in ("line_dedup", "bpe_encode"):
+                assert len(got) == table.count(), name
+            if name == "mix_sources":
+                assert {r.doc_id for r in got} == {r.doc_id for r in table.collect()}
