@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ END, PAD = 255, 254
 LENGTH, SHARD_BYTES, KEY, ROUNDS = 512, 16 << 20, 0x5EED, 6
 #: Shards are dealt over at most so many tasks; beyond that a task writes a range of them, one after the other.
 MAX_WRITERS = 20_000
+#: Shards are written in so many ranges, each with a shuffle of its own, so that the disk never holds more than this part of
+#: all records beside the ids and the shards; each range reads the ids once more.
+PASSES = 2
 SPLIT = "docs were split otherwise than when they were counted"
 MANIFEST = "shard int, file string, first_slot long, records long, crc32 long"
 #: Before the ids of each record: doc_id (the least int64 for null), number of the sequence in its document, ids in use.
@@ -115,8 +119,9 @@ def counted(n: Column, length: int) -> Column:
     return F.ceil((n + 1) / length).cast("long")
 
 
-def _scatter(rows: DataFrame, bases: dict[int, tuple[int, int]], order: Permutation, per_shard: int, length: int, form: Form) -> DataFrame:
-    """(shard, part): the records that a few MB of documents send to one shard, compressed as one part."""
+def _scatter(rows: DataFrame, bases: dict[int, tuple[int, int]], order: Permutation, first: int, until: int, per_shard: int, length: int, form: Form) -> DataFrame:
+    """(shard, part): the records of slots from `first` to before `until` that a few MB of documents send to one shard,
+    compressed as one part."""
     width, last, fill = form.width, form.raw(form.end), form.raw(form.pad)
     stride = HEAD_SIZE + length * width
 
@@ -128,28 +133,37 @@ def _scatter(rows: DataFrame, bases: dict[int, tuple[int, int]], order: Permutat
         at, most = bases.get(TaskContext.get().partitionId(), (0, 0))
         end = at + most
         records: list[bytes] = []
+        taken: list[int] = []
 
         def parts():
-            nonlocal records, at
-            slots = order.slot(np.arange(at, at + len(records)))
-            at += len(records)
+            nonlocal records, taken
+            slots = np.array(taken)
             shards, by = slots // per_shard, np.argsort(slots, kind="stable")
             cuts = np.flatnonzero(np.diff(shards[by])) + 1
             out = [(int(shards[g[0]]), pack.compress((slots[g] % per_shard).astype("<u4").tobytes() + b"".join(records[i] for i in g))) for g in np.split(by, cuts)]
-            records = []
+            records, taken = [], []
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["shard", "part"])
 
         for b in batches:
-            for key, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = data.as_py() + last
-                for k, s in enumerate(range(0, len(ids), length * width)):
-                    own = ids[s : s + length * width]
-                    n = len(own) // width
-                    records.append(struct.pack(HEADER, NULL_ID if key is None else key, k, n) + own + fill * (length - n))
-                if at + len(records) > end:
-                    raise RuntimeError(SPLIT)
-                if len(records) * stride > 8 << 20:
-                    yield parts()
+            counts = pc.binary_length(b.column(1)).to_numpy().astype(np.int64) // width // length + 1  # with its end, a text fills so many
+            total = int(counts.sum())
+            if at + total > end:
+                raise RuntimeError(SPLIT)
+            slots = iter(order.slot(np.arange(at, at + total)).tolist())
+            at += total
+            for key, data, n in zip(b.column(0).to_pylist(), b.column(1), counts.tolist(), strict=True):
+                ids = None
+                for k, slot in zip(range(n), slots):
+                    if not first <= slot < until:
+                        continue
+                    if ids is None:
+                        ids = data.as_py() + last
+                    own = ids[k * length * width : (k + 1) * length * width]
+                    used = len(own) // width
+                    records.append(struct.pack(HEADER, NULL_ID if key is None else key, k, used) + own + fill * (length - used))
+                    taken.append(slot)
+                    if len(records) * stride > 8 << 20:
+                        yield parts()
         if records:
             yield parts()
         if at != end:
@@ -195,7 +209,7 @@ def _write(parts: DataFrame, path: str, total: int, per_shard: int, stride: int)
     return parts.mapInArrow(run, MANIFEST)
 
 
-def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, key: int = KEY, path: str | None = None, codec: Codec | None = None) -> tuple[DataFrame, str, Permutation]:
+def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, key: int = KEY, path: str | None = None, codec: Codec | None = None, passes: int = PASSES) -> tuple[DataFrame, str, Permutation]:
     """Writes all texts in training order, as the codec's token ids or, without one, as ids of their UTF-8 bytes; returns
     (manifest, folder, permutation). The folder is a new one below `path`, else below the shared folder, and nothing else
     is ever deleted.
@@ -205,8 +219,9 @@ def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     written. Sequences are numbered along the partitions of those ids (without a codec, of docs), each partition's base
     being the count of those before it (one number for each partition). A Feistel permutation of all numbers gives every
     sequence its slot, and slots are cut into shards of equal records, so record r of shard s is at byte r * stride, and
-    slot and document are computed from each other. The table must be split alike in both passes, as a stored one is;
-    where a pass finds otherwise, it is written to the shared folder, and both are run again on that. A shard is assembled
+    slot and document are computed from each other. Shards are written in `passes` ranges, one after the other. The table
+    must be split alike whenever it is read, as a stored one is; where a pass finds otherwise, it is written to the shared
+    folder, and all are run again on that. A shard is assembled
     in a buffer of shard_bytes, and its file is moved into place when whole. Rows that repeat an id have sequences of their
     own each; other columns are ignored; a very long text is as many sequences as it fills.
     """
@@ -238,10 +253,16 @@ def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             shards = -(-total // per_shard)
             if not total:
                 return spark.createDataFrame([], MANIFEST), path, order
-            writers, manifest = min(shards, MAX_WRITERS), f"{path}/manifest"
-            parts = _scatter(rows, bases, order, per_shard, length, form).repartitionById(writers, F.expr(f"cast(cast(shard as bigint) * {writers} div {shards} as int)")).sortWithinPartitions("shard")
+            ranges = min(passes, shards)
+            cuts = [shards * i // ranges for i in range(ranges + 1)]
+            manifests = [f"{path}/manifest/{i}" for i in range(ranges)]
             try:
-                _write(parts, path, total, per_shard, stride).write.mode("overwrite").parquet(manifest)
+                for low, high, manifest in zip(cuts, cuts[1:], manifests):
+                    writers = min(high - low, MAX_WRITERS)
+                    parts = _scatter(rows, bases, order, low * per_shard, high * per_shard, per_shard, length, form)
+                    parts = parts.repartitionById(writers, F.expr(f"cast(cast(shard - {low} as bigint) * {writers} div {high - low} as int)")).sortWithinPartitions("shard")
+                    with shuffles_freed(spark):
+                        _write(parts, path, total, per_shard, stride).write.mode("overwrite").parquet(manifest)
                 break
             except Exception as e:
                 drop_dir(spark, path)
@@ -251,7 +272,7 @@ def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     finally:
         for folder in kept:
             drop_dir(spark, folder)
-    return spark.read.schema(MANIFEST).parquet(manifest), path, order
+    return spark.read.schema(MANIFEST).parquet(*manifests), path, order
 
 
 def read_sequences(spark: SparkSession, manifest: DataFrame, path: str, length: int = LENGTH, from_slot: int = 0, codec: Codec | None = None) -> DataFrame:

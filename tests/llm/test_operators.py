@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -279,6 +280,21 @@ def test_slots_are_the_permutation_of_places(spark):
     assert read.select(F.spark_partition_id()).distinct().count() == manifest.count() == -(-order.n // per_shard)
 
 
+@pytest.mark.parametrize("passes", [2, 3, 100])
+def test_shards_are_the_same_in_any_number_of_passes(spark, tmp_path, passes):
+    docs = spark.range(300).selectExpr("id as doc_id", "if(id % 50 = 0, null, repeat('a', cast(id as int))) as text")
+
+    def shards(passes):
+        manifest, path, _ = sequences.materialise(docs, length=64, shard_bytes=2048, path=str(tmp_path), passes=passes)
+        names = {r.file: r.crc32 for r in manifest.collect()}
+        assert len(names) == manifest.count() > 10
+        files = {n: Path(path.removeprefix("file:"), n).read_bytes() for n in names}
+        assert {n: zlib.crc32(b) for n, b in files.items()} == names
+        return files
+
+    assert shards(passes) == shards(1)
+
+
 def test_writers_take_ranges_of_shards(spark, monkeypatch):
     monkeypatch.setattr(sequences, "MAX_WRITERS", 3)
     docs = spark.range(500).selectExpr("id as doc_id", "repeat('a', cast(id as int)) as text")
